@@ -112,14 +112,39 @@ def people_base(people: DataFrame) -> DataFrame:
     )
 
 
+DIRECTOR_COLUMNS = ["tconst", "nconst", "directorName", "primaryTitle", "startYear",
+                    "titleType", "averageRating", "numVotes"]
+
+
 def directors(exploded: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
-    """Director credits with the director's name and the title's attributes."""
+    """Director credits with the director's name and the title's attributes.
+
+    Stage-by-stage form: exploded credits -> people -> titles. It shuffles the
+    credits on ``tconst`` twice (existence test, then attributes); the ETL
+    uses ``directors_from_crew`` instead when title ids are unique.
+    """
     names = people.select("nconst", F.col("primaryName").alias("directorName"))
     t = titles.select("tconst", "primaryTitle", "startYear", "titleType", "averageRating", "numVotes")
-    return exploded.join(names, "nconst", "inner").join(t, "tconst", "inner").select(
-        "tconst", "nconst", "directorName", "primaryTitle", "startYear",
-        "titleType", "averageRating", "numVotes",
+    return exploded.join(names, "nconst", "inner").join(t, "tconst", "inner").select(*DIRECTOR_COLUMNS)
+
+
+def directors_from_crew(crew: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
+    """Director credits in two shuffles: crew x titles on ``tconst``, then people.
+
+    Joining the crew rows to the titles before the explode does the existence
+    test and fetches the title attributes in one pass; the exploded rows are
+    then shuffled once, on ``nconst``. Same rows as ``directors`` when
+    ``tconst`` is unique among titles.
+    """
+    t = titles.select("tconst", "primaryTitle", "startYear", "titleType", "averageRating", "numVotes")
+    credited = (
+        crew.select("tconst", "directors").where(_non_blank("directors"))
+        .join(t, "tconst", "inner")
+        .withColumn("nconst", F.explode(split_list("directors")))
+        .drop("directors")
     )
+    names = people.select("nconst", F.col("primaryName").alias("directorName"))
+    return credited.join(names, "nconst", "inner").select(*DIRECTOR_COLUMNS)
 
 
 # --- actors ---------------------------------------------------------------
@@ -252,7 +277,11 @@ def build_stages(raw: RawSources, p: EtlParams, titles: DataFrame | None = None)
         genres_by_year=genres_by_year(gx),
         crew_of_kept_titles=crew,
         directors_exploded=dx,
-        directors=directors(dx, people_base(raw.people), t),
+        directors=(
+            directors_from_crew(raw.crew, people_base(raw.people), t)
+            if p.assume_unique_titles
+            else directors(dx, people_base(raw.people), t)
+        ),
         principals_top_billed=pr,
         actors=actors(pr, people_base(raw.people_for_actors), t),
         countries_base=cb,

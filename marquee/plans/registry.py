@@ -1,10 +1,16 @@
 """Registered queries over the driver's test tables.
 
-Each entry takes ``(spark, sf_dir)`` and returns a lazy DataFrame computed
-from the tables in ``sf_dir`` through the catalogue mapping
-(``sources.testdata``), the ETL and the analysis plans, with the parameters
-of ``config.DRIVER_ETL`` / ``config.DRIVER_ANALYSIS``. Every query reads the
-whole tables; nothing is sampled or capped except where a top-k is the feature.
+Two layers:
+
+* ``ANALYSES`` — each analysis as a function of the six gold tables (a dict
+  of DataFrames), with the parameters of ``config.DRIVER_ANALYSIS``. The
+  bench runs these on gold tables the ETL has written.
+* ``QUERIES`` — ``(spark, sf_dir) -> DataFrame``: the ETL stages and every
+  analysis computed from the tables in ``sf_dir`` through the catalogue
+  mapping (``sources.testdata``) and the ETL (``config.DRIVER_ETL``).
+
+Every query reads whole tables; nothing is sampled or capped except where a
+top-k is the feature.
 """
 
 from __future__ import annotations
@@ -28,6 +34,8 @@ from marquee.plans import etl, genres, geography, people, series, trends
 from marquee.schemas import GOLD_TABLES
 from marquee.sources.testdata import driver_sources
 
+Gold = dict[str, DataFrame]
+Analysis = Callable[[Gold], DataFrame]
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -35,134 +43,126 @@ def stages(spark: SparkSession, sf_dir: str) -> etl.EtlStages:
     return etl.build_stages(driver_sources(spark, sf_dir), P)
 
 
-def gold(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    return stages(spark, sf_dir).gold()
-
-
-# --- filtered views -------------------------------------------------------
-
-def filtered_titles(spark, sf):
-    return title_filter(stages(spark, sf).titles_clean, A.filter)
+# --- filtered views of the gold tables ---------------------------------------
 
+def f_titles(g: Gold) -> DataFrame:
+    return title_filter(g["titles_clean"], A.filter)
 
-def filtered_genres(spark, sf):
-    return title_filter(stages(spark, sf).genres_by_year, A.genre_filter, rating_col="avg_rating")
 
+def f_genres(g: Gold) -> DataFrame:
+    return title_filter(g["genres_by_year"], A.genre_filter, rating_col="avg_rating")
 
-def filtered_directors(spark, sf):
-    return title_filter(stages(spark, sf).directors, A.filter)
 
+def f_directors(g: Gold) -> DataFrame:
+    return title_filter(g["directors"], A.filter)
 
-def filtered_actors(spark, sf):
-    return title_filter(stages(spark, sf).actors, A.filter)
 
+def f_actors(g: Gold) -> DataFrame:
+    return title_filter(g["actors"], A.filter)
 
-def filtered_countries(spark, sf):
-    return title_filter(stages(spark, sf).countries, A.filter)
 
+def f_countries(g: Gold) -> DataFrame:
+    return title_filter(g["countries"], A.filter)
 
-def filtered_episodes(spark, sf):
-    return episode_filter(stages(spark, sf).episodes, A.filter)
 
+def f_episodes(g: Gold) -> DataFrame:
+    return episode_filter(g["episodes"], A.filter)
 
-def filtered_series(spark, sf):
-    return series_filter(filtered_titles(spark, sf), A.series_types)
 
+def f_series(g: Gold) -> DataFrame:
+    return series_filter(f_titles(g), A.series_types)
 
-def _season_analysis(spark, sf):
-    return series.season_analysis(filtered_episodes(spark, sf), filtered_series(spark, sf), A.rating_digits)
 
+def season_table(g: Gold) -> DataFrame:
+    return series.season_analysis(f_episodes(g), f_series(g), A.rating_digits)
 
-def _people(kind: str) -> tuple[Callable, str]:
-    if kind == "directors":
-        return filtered_directors, "directorName"
-    return filtered_actors, "actorName"
 
-
-def _people_queries() -> dict[str, Query]:
-    out: dict[str, Query] = {}
-    for kind in ("directors", "actors"):
-        src, name = _people(kind)
-        out[f"top_{kind}_by_works"] = lambda s, d, src=src, name=name: people.top_people_by_works(src(s, d), name, 15)
-        out[f"top_{kind}_by_rating"] = lambda s, d, src=src, name=name: people.top_people_by_rating(
-            src(s, d), name, A.min_works, 15, A.rating_digits)
-        out[f"{kind}_by_decade"] = lambda s, d, src=src, name=name: people.people_by_decade(src(s, d), name)
-        out[f"top_{kind}_per_decade"] = lambda s, d, src=src, name=name: people.top_people_per_decade(
-            src(s, d), name, 3)
-        out[f"top_{kind}_in_decade"] = lambda s, d, src=src, name=name: people.top_people_in_decade(
-            src(s, d), name, 3)
-        out[f"{kind}_decades"] = lambda s, d, src=src, name=name: people.distinct_decades(src(s, d), name, 3)
+def _people_analyses() -> dict[str, Analysis]:
+    out: dict[str, Analysis] = {}
+    for kind, src, name in (("directors", f_directors, "directorName"), ("actors", f_actors, "actorName")):
+        out[f"top_{kind}_by_works"] = lambda g, src=src, name=name: people.top_people_by_works(src(g), name, 15)
+        out[f"top_{kind}_by_rating"] = lambda g, src=src, name=name: people.top_people_by_rating(
+            src(g), name, A.min_works, 15, A.rating_digits)
+        out[f"{kind}_by_decade"] = lambda g, src=src, name=name: people.people_by_decade(src(g), name)
+        out[f"top_{kind}_per_decade"] = lambda g, src=src, name=name: people.top_people_per_decade(
+            src(g), name, 3)
+        out[f"top_{kind}_in_decade"] = lambda g, src=src, name=name: people.top_people_in_decade(
+            src(g), name, 3)
+        out[f"{kind}_decades"] = lambda g, src=src, name=name: people.distinct_decades(src(g), name, 3)
     return out
 
 
-def _gold_profile_tables(spark, sf) -> dict[str, DataFrame]:
-    g = gold(spark, sf)
+def _profiled(g: Gold) -> Gold:
     return {n: g[n] for n in GOLD_TABLES}
 
 
-QUERIES: dict[str, Query] = {
-    # ETL stages
-    "titles_base": lambda s, d: stages(s, d).titles_base,
-    "ratings_filtered": lambda s, d: stages(s, d).ratings_filtered,
-    "titles_clean": lambda s, d: stages(s, d).titles_clean,
-    "genres_exploded": lambda s, d: stages(s, d).genres_exploded,
-    "genres_by_year": lambda s, d: stages(s, d).genres_by_year,
-    "crew_of_kept_titles": lambda s, d: stages(s, d).crew_of_kept_titles,
-    "directors_exploded": lambda s, d: stages(s, d).directors_exploded,
-    "directors": lambda s, d: stages(s, d).directors,
-    "principals_top_billed": lambda s, d: stages(s, d).principals_top_billed,
-    "actors": lambda s, d: stages(s, d).actors,
-    "countries_base": lambda s, d: stages(s, d).countries_base,
-    "countries": lambda s, d: stages(s, d).countries,
-    "episodes": lambda s, d: stages(s, d).episodes,
-    "etl_row_counts": lambda s, d: etl.etl_row_counts(stages(s, d)),
+ANALYSES: dict[str, Analysis] = {
     # filters
-    "filtered_titles": filtered_titles,
-    "filtered_genres": filtered_genres,
-    "filtered_episodes": filtered_episodes,
-    "filtered_series": filtered_series,
-    "filtered_title_ids": lambda s, d: trends.filtered_title_ids(filtered_titles(s, d)),
+    "filtered_titles": f_titles,
+    "filtered_genres": f_genres,
+    "filtered_episodes": f_episodes,
+    "filtered_series": f_series,
+    "filtered_title_ids": lambda g: trends.filtered_title_ids(f_titles(g)),
     # trends
-    "kpi_summary": lambda s, d: trends.kpi_summary(filtered_titles(s, d), A.rating_digits),
-    "titles_by_year_type": lambda s, d: trends.titles_by_year_type(filtered_titles(s, d)),
-    "top_decade": lambda s, d: trends.top_decade(filtered_titles(s, d)),
-    "production_growth": lambda s, d: trends.production_growth(
-        filtered_titles(s, d), A.filter.year_lo, A.filter.year_hi, A.growth_span),
-    "rating_by_year": lambda s, d: trends.rating_by_year(filtered_titles(s, d), A.rating_digits),
-    "year_bounds": lambda s, d: trends.year_bounds(stages(s, d).titles_clean),
-    "movies_by_year": lambda s, d: trends.movies_by_year(stages(s, d).titles_clean, A.movie_type),
+    "kpi_summary": lambda g: trends.kpi_summary(f_titles(g), A.rating_digits),
+    "titles_by_year_type": lambda g: trends.titles_by_year_type(f_titles(g)),
+    "top_decade": lambda g: trends.top_decade(f_titles(g)),
+    "production_growth": lambda g: trends.production_growth(
+        f_titles(g), A.filter.year_lo, A.filter.year_hi, A.growth_span),
+    "rating_by_year": lambda g: trends.rating_by_year(f_titles(g), A.rating_digits),
+    "year_bounds": lambda g: trends.year_bounds(g["titles_clean"]),
+    "movies_by_year": lambda g: trends.movies_by_year(g["titles_clean"], A.movie_type),
     # genres
-    "top_genres": lambda s, d: genres.top_genres(filtered_genres(s, d), 10),
-    "top_rated_genres": lambda s, d: genres.top_rated_genres(filtered_genres(s, d), 10, A.rating_digits),
-    "genre_timeline": lambda s, d: genres.genre_timeline(filtered_genres(s, d), A.preferred_genres),
-    "distinct_genres": lambda s, d: genres.distinct_genres(filtered_genres(s, d)),
-    "default_genres": lambda s, d: genres.default_genres(filtered_genres(s, d), A.preferred_genres),
-    "default_genres_fallback": lambda s, d: genres.default_genres(
-        filtered_genres(s, d), A.preferred_genres[:3] + ("no-such-genre",)),
+    "top_genres": lambda g: genres.top_genres(f_genres(g), 10),
+    "top_rated_genres": lambda g: genres.top_rated_genres(f_genres(g), 10, A.rating_digits),
+    "genre_timeline": lambda g: genres.genre_timeline(f_genres(g), A.preferred_genres),
+    "distinct_genres": lambda g: genres.distinct_genres(f_genres(g)),
+    "default_genres": lambda g: genres.default_genres(f_genres(g), A.preferred_genres),
+    "default_genres_fallback": lambda g: genres.default_genres(
+        f_genres(g), A.preferred_genres[:3] + ("no-such-genre",)),
     # people
-    **_people_queries(),
+    **_people_analyses(),
     # geography
-    "top_countries": lambda s, d: geography.top_countries(filtered_countries(s, d), 20),
-    "top_rated_countries": lambda s, d: geography.top_rated_countries(
-        filtered_countries(s, d), A.min_productions, 20, A.rating_digits),
-    "country_timeline": lambda s, d: geography.country_timeline(filtered_countries(s, d), A.preferred_regions),
-    "distinct_regions": lambda s, d: geography.distinct_regions(filtered_countries(s, d)),
-    "default_regions": lambda s, d: geography.default_regions(filtered_countries(s, d), A.preferred_regions),
+    "top_countries": lambda g: geography.top_countries(f_countries(g), 20),
+    "top_rated_countries": lambda g: geography.top_rated_countries(
+        f_countries(g), A.min_productions, 20, A.rating_digits),
+    "country_timeline": lambda g: geography.country_timeline(f_countries(g), A.preferred_regions),
+    "distinct_regions": lambda g: geography.distinct_regions(f_countries(g)),
+    "default_regions": lambda g: geography.default_regions(f_countries(g), A.preferred_regions),
     # series
-    "series_kpis": lambda s, d: series.series_kpis(filtered_series(s, d), filtered_episodes(s, d), A.rating_digits),
-    "top_series": lambda s, d: series.top_series(filtered_series(s, d), 20),
-    "season_analysis": _season_analysis,
-    "series_most_seasons": lambda s, d: series.series_most_seasons(_season_analysis(s, d), 15),
-    "series_most_episodes": lambda s, d: series.series_most_episodes(_season_analysis(s, d), 15),
-    "series_picklist": lambda s, d: series.series_picklist(_season_analysis(s, d), 100),
-    "season_ratings": lambda s, d: series.season_ratings(
-        filtered_episodes(s, d), _season_analysis(s, d), None, A.rating_digits),
+    "series_kpis": lambda g: series.series_kpis(f_series(g), f_episodes(g), A.rating_digits),
+    "top_series": lambda g: series.top_series(f_series(g), 20),
+    "season_analysis": season_table,
+    "series_most_seasons": lambda g: series.series_most_seasons(season_table(g), 15),
+    "series_most_episodes": lambda g: series.series_most_episodes(season_table(g), 15),
+    "series_picklist": lambda g: series.series_picklist(season_table(g), 100),
+    "season_ratings": lambda g: series.season_ratings(f_episodes(g), season_table(g), None, A.rating_digits),
     # profile
-    "table_profile": lambda s, d: table_profile(_gold_profile_tables(s, d)),
-    "null_profile": lambda s, d: null_profile(_gold_profile_tables(s, d)),
-    "table_sample": lambda s, d: table_sample(stages(s, d).titles_clean, ["tconst"], 3),
-    "dataset_summary": lambda s, d: dataset_summary(table_profile(_gold_profile_tables(s, d)), GOLD_TABLES),
+    "table_profile": lambda g: table_profile(_profiled(g)),
+    "null_profile": lambda g: null_profile(_profiled(g)),
+    "table_sample": lambda g: table_sample(g["titles_clean"], ["tconst"], 3),
+    "dataset_summary": lambda g: dataset_summary(table_profile(_profiled(g)), GOLD_TABLES),
 }
 
+ETL_STAGES = (
+    "titles_base", "ratings_filtered", "titles_clean", "genres_exploded", "genres_by_year",
+    "crew_of_kept_titles", "directors_exploded", "directors", "principals_top_billed", "actors",
+    "countries_base", "countries", "episodes",
+)
+
+
+def _stage_query(name: str) -> Query:
+    return lambda s, d: getattr(stages(s, d), name)
+
+
+def _analysis_query(fn: Analysis) -> Query:
+    return lambda s, d: fn(stages(s, d).gold())
+
+
+QUERIES: dict[str, Query] = {
+    **{name: _stage_query(name) for name in ETL_STAGES},
+    "etl_row_counts": lambda s, d: etl.etl_row_counts(stages(s, d)),
+    **{name: _analysis_query(fn) for name, fn in ANALYSES.items()},
+}
 
 FLAGSHIP = "top_directors_per_decade"
