@@ -181,6 +181,22 @@ def countries_base(akas: DataFrame, p: EtlParams) -> DataFrame:
     )
 
 
+def countries_base_by_title(akas: DataFrame, p: EtlParams) -> DataFrame:
+    """``countries_base`` hash-partitioned by ``tconst``.
+
+    One shuffle on ``tconst`` serves both the de-duplication (its keys
+    contain ``tconst``, so no second exchange) and the following join with
+    the titles; the plain form shuffles on (tconst, region) and then again on
+    tconst.
+    """
+    return (
+        akas.select(F.col("titleId").alias("tconst"), "region")
+        .where(_non_blank("region") & (F.length("region") == F.lit(p.region_length)))
+        .repartition("tconst")
+        .distinct()
+    )
+
+
 def countries(base: DataFrame, titles: DataFrame) -> DataFrame:
     t = titles.select("tconst", "primaryTitle", "startYear", "titleType", "genres", "averageRating", "numVotes")
     return base.join(t, "tconst", "inner").select(
@@ -285,7 +301,7 @@ def build_stages(raw: RawSources, p: EtlParams, titles: DataFrame | None = None)
         principals_top_billed=pr,
         actors=actors(pr, people_base(raw.people_for_actors), t),
         countries_base=cb,
-        countries=countries(cb, t),
+        countries=countries(countries_base_by_title(raw.akas, p), t),
         episodes=episodes(episodes_base(raw.episode), t, p),
     )
 
