@@ -21,17 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from marquee.config import DRIVER_ANALYSIS as A
 from marquee.config import DRIVER_ETL as P
-from marquee.operators import (
-    dataset_summary,
-    episode_filter,
-    null_profile,
-    series_filter,
-    table_profile,
-    table_sample,
-    title_filter,
-)
-from marquee.plans import etl, genres, geography, people, series, trends
-from marquee.schemas import GOLD_TABLES
+from marquee.plans import dashboard, etl, genres
 from marquee.sources.testdata import driver_sources
 
 Gold = dict[str, DataFrame]
@@ -43,105 +33,11 @@ def stages(spark: SparkSession, sf_dir: str) -> etl.EtlStages:
     return etl.build_stages(driver_sources(spark, sf_dir), P)
 
 
-# --- filtered views of the gold tables ---------------------------------------
-
-def f_titles(g: Gold) -> DataFrame:
-    return title_filter(g["titles_clean"], A.filter)
-
-
-def f_genres(g: Gold) -> DataFrame:
-    return title_filter(g["genres_by_year"], A.genre_filter, rating_col="avg_rating")
-
-
-def f_directors(g: Gold) -> DataFrame:
-    return title_filter(g["directors"], A.filter)
-
-
-def f_actors(g: Gold) -> DataFrame:
-    return title_filter(g["actors"], A.filter)
-
-
-def f_countries(g: Gold) -> DataFrame:
-    return title_filter(g["countries"], A.filter)
-
-
-def f_episodes(g: Gold) -> DataFrame:
-    return episode_filter(g["episodes"], A.filter)
-
-
-def f_series(g: Gold) -> DataFrame:
-    return series_filter(f_titles(g), A.series_types)
-
-
-def season_table(g: Gold) -> DataFrame:
-    return series.season_analysis(f_episodes(g), f_series(g), A.rating_digits)
-
-
-def _people_analyses() -> dict[str, Analysis]:
-    out: dict[str, Analysis] = {}
-    for kind, src, name in (("directors", f_directors, "directorName"), ("actors", f_actors, "actorName")):
-        out[f"top_{kind}_by_works"] = lambda g, src=src, name=name: people.top_people_by_works(src(g), name, 15)
-        out[f"top_{kind}_by_rating"] = lambda g, src=src, name=name: people.top_people_by_rating(
-            src(g), name, A.min_works, 15, A.rating_digits)
-        out[f"{kind}_by_decade"] = lambda g, src=src, name=name: people.people_by_decade(src(g), name)
-        out[f"top_{kind}_per_decade"] = lambda g, src=src, name=name: people.top_people_per_decade(
-            src(g), name, 3)
-        out[f"top_{kind}_in_decade"] = lambda g, src=src, name=name: people.top_people_in_decade(
-            src(g), name, 3)
-        out[f"{kind}_decades"] = lambda g, src=src, name=name: people.distinct_decades(src(g), name, 3)
-    return out
-
-
-def _profiled(g: Gold) -> Gold:
-    return {n: g[n] for n in GOLD_TABLES}
-
-
 ANALYSES: dict[str, Analysis] = {
-    # filters
-    "filtered_titles": f_titles,
-    "filtered_genres": f_genres,
-    "filtered_episodes": f_episodes,
-    "filtered_series": f_series,
-    "filtered_title_ids": lambda g: trends.filtered_title_ids(f_titles(g)),
-    # trends
-    "kpi_summary": lambda g: trends.kpi_summary(f_titles(g), A.rating_digits),
-    "titles_by_year_type": lambda g: trends.titles_by_year_type(f_titles(g)),
-    "top_decade": lambda g: trends.top_decade(f_titles(g)),
-    "production_growth": lambda g: trends.production_growth(
-        f_titles(g), A.filter.year_lo, A.filter.year_hi, A.growth_span),
-    "rating_by_year": lambda g: trends.rating_by_year(f_titles(g), A.rating_digits),
-    "year_bounds": lambda g: trends.year_bounds(g["titles_clean"]),
-    "movies_by_year": lambda g: trends.movies_by_year(g["titles_clean"], A.movie_type),
-    # genres
-    "top_genres": lambda g: genres.top_genres(f_genres(g), 10),
-    "top_rated_genres": lambda g: genres.top_rated_genres(f_genres(g), 10, A.rating_digits),
-    "genre_timeline": lambda g: genres.genre_timeline(f_genres(g), A.preferred_genres),
-    "distinct_genres": lambda g: genres.distinct_genres(f_genres(g)),
-    "default_genres": lambda g: genres.default_genres(f_genres(g), A.preferred_genres),
+    **dashboard.analyses(A),
+    # the other branch of the default pick: one preferred genre is absent
     "default_genres_fallback": lambda g: genres.default_genres(
-        f_genres(g), A.preferred_genres[:3] + ("no-such-genre",)),
-    # people
-    **_people_analyses(),
-    # geography
-    "top_countries": lambda g: geography.top_countries(f_countries(g), 20),
-    "top_rated_countries": lambda g: geography.top_rated_countries(
-        f_countries(g), A.min_productions, 20, A.rating_digits),
-    "country_timeline": lambda g: geography.country_timeline(f_countries(g), A.preferred_regions),
-    "distinct_regions": lambda g: geography.distinct_regions(f_countries(g)),
-    "default_regions": lambda g: geography.default_regions(f_countries(g), A.preferred_regions),
-    # series
-    "series_kpis": lambda g: series.series_kpis(f_series(g), f_episodes(g), A.rating_digits),
-    "top_series": lambda g: series.top_series(f_series(g), 20),
-    "season_analysis": season_table,
-    "series_most_seasons": lambda g: series.series_most_seasons(season_table(g), 15),
-    "series_most_episodes": lambda g: series.series_most_episodes(season_table(g), 15),
-    "series_picklist": lambda g: series.series_picklist(season_table(g), 100),
-    "season_ratings": lambda g: series.season_ratings(f_episodes(g), season_table(g), None, A.rating_digits),
-    # profile
-    "table_profile": lambda g: table_profile(_profiled(g)),
-    "null_profile": lambda g: null_profile(_profiled(g)),
-    "table_sample": lambda g: table_sample(g["titles_clean"], ["tconst"], 3),
-    "dataset_summary": lambda g: dataset_summary(table_profile(_profiled(g)), GOLD_TABLES),
+        dashboard.Views(g, A).genre_cells, A.preferred_genres[:3] + ("no-such-genre",)),
 }
 
 ETL_STAGES = (

@@ -135,3 +135,13 @@ def test_stream_landing_is_incremental(spark, raw_dir, tmp_out):
     land_stream(spark, *args).awaitTermination()  # only the new file is read
     landed = spark.read.parquet(f"{tmp_out}/landed_ratings")
     assert landed.count() == 6 and landed.columns == ["tconst", "averageRating", "numVotes"]
+
+
+def test_cli_etl_then_verify(spark, raw_dir, tmp_out, capsys):
+    from marquee.cli import main
+
+    out = f"{tmp_out}/cli_gold"
+    assert main(["etl", "--raw", raw_dir, "--out", out, "--year-lo", "1990"]) == 0
+    assert "titles_clean: 4 rows" in capsys.readouterr().out
+    assert main(["verify", "--dir", out]) == 0
+    assert main(["verify", "--dir", f"{tmp_out}/nowhere"]) == 1
