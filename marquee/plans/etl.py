@@ -173,26 +173,17 @@ def actors(principals: DataFrame, people: DataFrame, titles: DataFrame) -> DataF
 # --- regions --------------------------------------------------------------
 
 def countries_base(akas: DataFrame, p: EtlParams) -> DataFrame:
-    """Distinct (title, region) pairs with a region code of the given length."""
-    return (
-        akas.select(F.col("titleId").alias("tconst"), "region")
-        .where(_non_blank("region") & (F.length("region") == F.lit(p.region_length)))
-        .distinct()
-    )
-
-
-def countries_base_by_title(akas: DataFrame, p: EtlParams) -> DataFrame:
-    """``countries_base`` hash-partitioned by ``tconst``.
+    """Distinct (title, region) pairs with a region code of the given length.
 
-    One shuffle on ``tconst`` serves both the de-duplication (its keys
-    contain ``tconst``, so no second exchange) and the following join with
-    the titles; the plain form shuffles on (tconst, region) and then again on
-    tconst.
+    The de-duplication aggregates partially before its (tconst, region)
+    shuffle, so even a title holding a third of all region rows leaves each
+    task as at most one row per region; only then does the join shuffle on
+    ``tconst``. (Shuffling the raw rows on ``tconst`` once would save a
+    shuffle but send a hot title's raw rows to a single task.)
     """
     return (
         akas.select(F.col("titleId").alias("tconst"), "region")
         .where(_non_blank("region") & (F.length("region") == F.lit(p.region_length)))
-        .repartition("tconst")
         .distinct()
     )
 
@@ -301,7 +292,7 @@ def build_stages(raw: RawSources, p: EtlParams, titles: DataFrame | None = None)
         principals_top_billed=pr,
         actors=actors(pr, people_base(raw.people_for_actors), t),
         countries_base=cb,
-        countries=countries(countries_base_by_title(raw.akas, p), t),
+        countries=countries(cb, t),
         episodes=episodes(episodes_base(raw.episode), t, p),
     )
 
