@@ -34,7 +34,7 @@ def kpi_summary(titles: DataFrame, digits: int | None = 6) -> DataFrame:
     total_votes = F.coalesce(F.sum("s_votes"), F.lit(0)).cast("bigint")
     return per_year.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_titles"),
-        _mean(F.sum("s_rating") / F.sum("n_rating"), digits).alias("avg_rating"),
+        _mean(F.sum("s_rating") / F.nullif(F.sum("n_rating"), F.lit(0)), digits).alias("avg_rating"),
         total_votes.alias("total_votes"),
         (total_votes.cast("double") / F.lit(1_000_000.0)).alias("total_votes_millions"),
         ranked_year.cast("int").alias("top_year"),
