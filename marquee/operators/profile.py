@@ -6,6 +6,7 @@ expression of the same ``agg``, and the one-row result is unpivoted.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
@@ -102,7 +103,9 @@ def file_sizes(spark: SparkSession, root: str, limit_bytes: int = 100 * 1024 * 1
         .load(root)
         .select("path", "length")
     )
-    rel = F.regexp_extract(F.col("path"), r"^.*?" + root.split("/")[-1] + r"/([^/]+)", 1)
+    # listed paths are URIs (file:/..., s3a://...) that contain the root as given
+    anchor = root.split(":", 1)[1] if root.startswith("file:") else root
+    rel = F.regexp_extract(F.col("path"), re.escape(anchor) + r"/([^/]+)", 1)
     per = files.where(~F.col("path").contains("/_")).groupBy(rel.alias("dataset")).agg(
         F.sum("length").alias("bytes")
     )
