@@ -145,3 +145,23 @@ def test_cli_etl_then_verify(spark, raw_dir, tmp_out, capsys):
     assert "titles_clean: 4 rows" in capsys.readouterr().out
     assert main(["verify", "--dir", out]) == 0
     assert main(["verify", "--dir", f"{tmp_out}/nowhere"]) == 1
+
+
+def test_dashboard_with_catalogue_defaults(spark, raw_dir, tmp_out):
+    from marquee.config import AnalysisParams
+    from marquee.plans.dashboard import dashboard_frames
+
+    etl.run_etl(spark, RawSources.from_raw_dict(read_raw_dir(spark, raw_dir)), f"{tmp_out}/g", P)
+    frames = dashboard_frames(read_gold(spark, f"{tmp_out}/g"), AnalysisParams(min_works=1, min_productions=1))
+    got = {name: df.collect() for name, df in frames.items()}
+    kpi = got["kpi_summary"][0]
+    # movie and tvSeries titles from 1990 on with rating >= 5: tt1, tt2, tt3
+    assert (kpi["total_titles"], kpi["top_year"]) == (3, 2000)
+    assert [r["directorName"] for r in got["top_directors_by_works"]] == ["Ann Lee", "Bo Ray"]
+    assert [(r["region"], r["count"]) for r in got["top_countries"]] == [("US", 1)]
+    assert [r["primaryTitle"] for r in got["top_series"]] == ["Show"]
+    # the only episode is rated 8.8 and its series started in 2002
+    assert got["series_kpis"][0]["num_episodes"] == 1
+    assert [(r["seasonNumber"], r["episodeRating"]) for r in got["season_ratings"]] == [(1, 8.8)]
+    # fewer than four genres present: the first ones in sorted order
+    assert [r["genre"] for r in sorted(got["default_genres"], key=lambda r: r["position"])] == ["Comedy", "Drama"]
