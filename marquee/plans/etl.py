@@ -147,6 +147,20 @@ def directors_from_crew(crew: DataFrame, people: DataFrame, titles: DataFrame) -
     return credited.join(names, "nconst", "inner").select(*DIRECTOR_COLUMNS)
 
 
+def directors_from_pairs(pairs: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
+    """Director credits from (tconst, nconst) rows: titles on ``tconst``, then people.
+
+    Same rows as ``directors_from_crew`` when the pairs are the distinct parts
+    of the crew lists. A title or a person holding a large share of the
+    credits is a hot key of a plain shuffle join, which AQE splits.
+    """
+    t = titles.select("tconst", "primaryTitle", "startYear", "titleType", "averageRating", "numVotes")
+    names = people.select("nconst", F.col("primaryName").alias("directorName"))
+    return pairs.select("tconst", "nconst").join(t, "tconst", "inner").join(names, "nconst", "inner").select(
+        *DIRECTOR_COLUMNS
+    )
+
+
 # --- actors ---------------------------------------------------------------
 
 def principals_top_billed(principals: DataFrame, p: EtlParams) -> DataFrame:
@@ -273,7 +287,17 @@ def build_stages(raw: RawSources, p: EtlParams, titles: DataFrame | None = None)
     t = tc if titles is None else titles
     gx = genres_exploded(t)
     crew = crew_of_kept_titles(raw.crew, t, p)
-    dx = directors_exploded(crew)
+    if raw.crew_pairs is not None:
+        pairs = raw.crew_pairs.select("tconst", "nconst")
+        dx = pairs.join(t.select("tconst"), "tconst", "left_semi")
+        dirs = directors_from_pairs(pairs, people_base(raw.people), t)
+    else:
+        dx = directors_exploded(crew)
+        dirs = (
+            directors_from_crew(raw.crew, people_base(raw.people), t)
+            if p.assume_unique_titles
+            else directors(dx, people_base(raw.people), t)
+        )
     pr = principals_top_billed(raw.principals, p)
     cb = countries_base(raw.akas, p)
     return EtlStages(
@@ -284,11 +308,7 @@ def build_stages(raw: RawSources, p: EtlParams, titles: DataFrame | None = None)
         genres_by_year=genres_by_year(gx),
         crew_of_kept_titles=crew,
         directors_exploded=dx,
-        directors=(
-            directors_from_crew(raw.crew, people_base(raw.people), t)
-            if p.assume_unique_titles
-            else directors(dx, people_base(raw.people), t)
-        ),
+        directors=dirs,
         principals_top_billed=pr,
         actors=actors(pr, people_base(raw.people_for_actors), t),
         countries_base=cb,

@@ -8,7 +8,8 @@ the driver tables and its work grows with them:
 * basics     one row per order; type = order priority; year = order year;
              genres = name of the order's smallest part key, space -> comma
 * ratings    per order: mean discount in percent points, votes = sum(quantity)
-* crew       per order: the distinct supplier keys, comma-joined
+* crew       per order: the distinct supplier keys, as (order, supplier) rows
+             for the ETL and comma-joined for the raw-format crew stage
 * people     suppliers (directors) and parts (actors, homonyms by design)
 * principals line items: part as person, return flag as category,
              line number as billing position
@@ -77,8 +78,14 @@ def driver_sources(spark: SparkSession, sf_dir: str) -> RawSources:
         F.sum("l_quantity").cast("int").alias("numVotes"),
     ).select(_id("l_orderkey").alias("tconst"), "averageRating", "numVotes")
 
-    # One comma list per order; its length is bounded by the supplier
-    # dimension and by the order's line count.
+    # Director credits as distinct (order, supplier) rows: partial
+    # de-duplication before the shuffle, no per-order list. The ETL joins
+    # these rows directly.
+    crew_pairs = lineitem.select(
+        _id("l_orderkey").alias("tconst"), _id("l_suppkey").alias("nconst")
+    ).distinct()
+    # The raw file's comma-list form of the same credits, for the stage that
+    # returns crew rows as such (``crew_of_kept_titles``).
     crew = lineitem.groupBy("l_orderkey").agg(
         F.array_join(F.array_sort(F.collect_set(_id("l_suppkey"))), ",").alias("directors")
     ).select(_id("l_orderkey").alias("tconst"), "directors")
@@ -122,4 +129,5 @@ def driver_sources(spark: SparkSession, sf_dir: str) -> RawSources:
         akas=akas,
         episode=episode,
         actor_people=people_of(part, "p_partkey", "p_name"),
+        crew_pairs=crew_pairs,
     )

@@ -103,3 +103,13 @@ def test_entry_smoke(spark):
     df = E.entry(spark)
     assert df.columns == ["decade", "directorName", "count"]
     assert df.count() > 0
+
+
+def test_director_pairs_equal_split_lists(spark):
+    raw = driver_sources(spark, SF_SMALL)
+    listed = type(raw)(**{**raw.__dict__, "crew_pairs": None})
+    a = etl.build_stages(raw, DRIVER_ETL)
+    b = etl.build_stages(listed, DRIVER_ETL)
+    assert rows(a.directors) == rows(b.directors)
+    assert rows(a.directors_exploded) == rows(b.directors_exploded)
+    assert "collect_set" not in plan_of(a.directors)
