@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from marquee.config import AnalysisParams
@@ -32,29 +33,50 @@ PEOPLE_KINDS = (("directors", "directorName"), ("actors", "actorName"))
 
 
 class Views:
-    """The filtered views every tab starts from (lazy; built on access)."""
-
-    def __init__(self, gold: Gold, a: AnalysisParams):
-        self.gold, self.a = gold, a
+    """The filtered views every tab starts from (lazy; built on access).
+
+    With ``cache=True`` each filtered view is built once and persisted
+    (memory, spilling to disk) the first time an analysis uses it, so all
+    tabs reuse it, as the dashboard keeps its loaded tables between
+    interactions. A lost cached block is rebuilt from its lineage, a Parquet
+    scan plus a filter. Call ``unpersist()`` when the parameters change.
+    """
+
+    def __init__(self, gold: Gold, a: AnalysisParams, cache: bool = False):
+        self.gold, self.a, self.cache = gold, a, cache
+        self._kept: dict[str, DataFrame] = {}
+
+    def _view(self, key: str, build: Callable[[], DataFrame]) -> DataFrame:
+        if not self.cache:
+            return build()
+        if key not in self._kept:
+            self._kept[key] = build().persist(StorageLevel.MEMORY_AND_DISK)
+        return self._kept[key]
+
+    def unpersist(self) -> None:
+        for df in self._kept.values():
+            df.unpersist()
+        self._kept.clear()
 
     @property
     def titles(self) -> DataFrame:
-        return title_filter(self.gold["titles_clean"], self.a.filter)
+        return self._view("titles", lambda: title_filter(self.gold["titles_clean"], self.a.filter))
 
     @property
     def genre_cells(self) -> DataFrame:
-        return title_filter(self.gold["genres_by_year"], self.a.genre_filter, rating_col="avg_rating")
+        return self._view("genres", lambda: title_filter(
+            self.gold["genres_by_year"], self.a.genre_filter, rating_col="avg_rating"))
 
     def people(self, kind: str) -> DataFrame:
-        return title_filter(self.gold[kind], self.a.filter)
+        return self._view(kind, lambda: title_filter(self.gold[kind], self.a.filter))
 
     @property
     def regions(self) -> DataFrame:
-        return title_filter(self.gold["countries"], self.a.filter)
+        return self._view("regions", lambda: title_filter(self.gold["countries"], self.a.filter))
 
     @property
     def episodes(self) -> DataFrame:
-        return episode_filter(self.gold["episodes"], self.a.filter)
+        return self._view("episodes", lambda: episode_filter(self.gold["episodes"], self.a.filter))
 
     @property
     def series(self) -> DataFrame:
@@ -65,12 +87,16 @@ class Views:
         return series.season_analysis(self.episodes, self.series, self.a.rating_digits)
 
 
-def analyses(a: AnalysisParams) -> dict[str, Callable[[Gold], DataFrame]]:
-    """Name -> function of the gold tables, for parameters ``a``."""
+def analyses(a: AnalysisParams, views: Views | None = None) -> dict[str, Callable[[Gold], DataFrame]]:
+    """Name -> function of the gold tables, for parameters ``a``.
+
+    ``views``: shared (possibly cached) filtered views to use instead of
+    building fresh ones from the gold tables passed to each function.
+    """
     d = a.rating_digits
 
     def v(g: Gold) -> Views:
-        return Views(g, a)
+        return views if views is not None else Views(g, a)
 
     out: dict[str, Callable[[Gold], DataFrame]] = {
         # filters
@@ -131,6 +157,16 @@ def analyses(a: AnalysisParams) -> dict[str, Callable[[Gold], DataFrame]]:
 
 
 def dashboard_frames(gold: Gold, a: AnalysisParams | None = None) -> dict[str, DataFrame]:
-    """All dashboard analyses over ``gold`` as lazy DataFrames."""
+    """All dashboard analyses over ``gold`` as lazy DataFrames (nothing cached)."""
     a = a or AnalysisParams()
     return {name: fn(gold) for name, fn in analyses(a).items()}
+
+
+def dashboard_views(gold: Gold, a: AnalysisParams | None = None) -> tuple[Views, dict[str, DataFrame]]:
+    """Cached filtered views plus every analysis built on them.
+
+    Keep the ``Views`` to ``unpersist()`` them when the filter values change.
+    """
+    a = a or AnalysisParams()
+    views = Views(gold, a, cache=True)
+    return views, {name: fn(gold) for name, fn in analyses(a, views).items()}

@@ -165,3 +165,19 @@ def test_dashboard_with_catalogue_defaults(spark, raw_dir, tmp_out):
     assert [(r["seasonNumber"], r["episodeRating"]) for r in got["season_ratings"]] == [(1, 8.8)]
     # fewer than four genres present: the first ones in sorted order
     assert [r["genre"] for r in sorted(got["default_genres"], key=lambda r: r["position"])] == ["Comedy", "Drama"]
+
+
+def test_cached_dashboard_views_equal_uncached(spark, raw_dir, tmp_out):
+    from marquee.config import AnalysisParams
+    from marquee.plans.dashboard import dashboard_frames, dashboard_views
+
+    etl.run_etl(spark, RawSources.from_raw_dict(read_raw_dir(spark, raw_dir)), f"{tmp_out}/g", P)
+    gold = read_gold(spark, f"{tmp_out}/g")
+    a = AnalysisParams(min_works=1, min_productions=1)
+    views, cached = dashboard_views(gold, a)
+    plain = dashboard_frames(gold, a)
+    for name in ("kpi_summary", "top_directors_per_decade", "season_analysis", "top_countries"):
+        assert rows(cached[name]) == rows(plain[name]), name
+    assert views.titles.storageLevel.useMemory
+    views.unpersist()
+    assert not views._kept
