@@ -106,3 +106,39 @@ def test_hot_director_and_hot_series(spark, skew_conf, skewed_raw, tmp_out):
     assert "skew=true" in eplan
     hot = st.episodes.where("seriesId = 't0'").count()
     assert hot == sum(1 for i in range(6000) if i % 10 != 0 and i % 3 == 0)
+
+
+def test_hot_title_regions_and_hot_actor(spark, skew_conf, skewed_raw, tmp_out):
+    n = 6000
+    ids = spark.range(n)
+    # title t1 carries a third of all region rows (many duplicates of few regions)
+    akas = ids.select(
+        F.when(F.col("id") % 3 == 0, F.lit("t1"))
+        .otherwise(F.concat(F.lit("t"), (F.col("id") % 2000).cast("string"))).alias("titleId"),
+        F.concat(F.lit("R"), (F.col("id") % 7).cast("string")).alias("region"),
+    )
+    # person d0 holds a third of all actor credits
+    principals = ids.select(
+        F.concat(F.lit("t"), (F.col("id") % 3000).cast("string")).alias("tconst"),
+        F.lit("1").alias("ordering"),
+        F.when(F.col("id") % 3 == 0, F.lit("d0"))
+        .otherwise(F.concat(F.lit("d"), (F.col("id") % 500 + 1).cast("string"))).alias("nconst"),
+        F.lit("actor").alias("category"),
+    )
+    raw = RawSources(**{**skewed_raw.__dict__,
+                        "akas": _raw(spark, "title.akas", akas),
+                        "principals": _raw(spark, "title.principals", principals)})
+    p = EtlParams(title_types=("movie", "tvSeries", "tvEpisode"), year_lo=1900, year_hi=2100)
+    etl.build_stages(raw, p).titles_clean.write.parquet(f"{tmp_out}/titles")
+    st = etl.build_stages(raw, p, titles=spark.read.parquet(f"{tmp_out}/titles"))
+
+    # the hot title reaches the join as at most one row per region
+    assert st.countries_base.where("tconst = 't1'").count() == 7
+    got = {(r["tconst"], r["region"]) for r in st.countries.collect()}
+    want = {("t1" if i % 3 == 0 else f"t{i % 2000}", f"R{i % 7}") for i in range(n)}
+    assert got == want
+
+    plan = _final_plan(st.actors)
+    assert "skew=true" in plan
+    per = {r["actorName"]: r["count"] for r in st.actors.groupBy("actorName").count().collect()}
+    assert per["Name 0"] == 2000 and sum(per.values()) == n
