@@ -78,6 +78,11 @@ class Views:
     def episodes(self) -> DataFrame:
         return self._view("episodes", lambda: episode_filter(self.gold["episodes"], self.a.filter))
 
+    @property
+    def year_types(self) -> DataFrame:
+        """Per (year, type) rollup of the filtered titles; every trend reads it."""
+        return self._view("year_types", lambda: trends.year_type_rollup(self.titles))
+
     @property
     def series(self) -> DataFrame:
         return series_filter(self.titles, self.a.series_types)
@@ -106,12 +111,12 @@ def analyses(a: AnalysisParams, views: Views | None = None) -> dict[str, Callabl
         "filtered_series": lambda g: v(g).series,
         "filtered_title_ids": lambda g: trends.filtered_title_ids(v(g).titles),
         # trends
-        "kpi_summary": lambda g: trends.kpi_summary(v(g).titles, d),
-        "titles_by_year_type": lambda g: trends.titles_by_year_type(v(g).titles),
-        "top_decade": lambda g: trends.top_decade(v(g).titles),
+        "kpi_summary": lambda g: trends.kpi_summary(None, d, rollup=v(g).year_types),
+        "titles_by_year_type": lambda g: trends.titles_by_year_type(None, rollup=v(g).year_types),
+        "top_decade": lambda g: trends.top_decade(None, rollup=v(g).year_types),
         "production_growth": lambda g: trends.production_growth(
-            v(g).titles, a.filter.year_lo, a.filter.year_hi, a.growth_span),
-        "rating_by_year": lambda g: trends.rating_by_year(v(g).titles, d),
+            None, a.filter.year_lo, a.filter.year_hi, a.growth_span, rollup=v(g).year_types),
+        "rating_by_year": lambda g: trends.rating_by_year(None, d, rollup=v(g).year_types),
         "year_bounds": lambda g: trends.year_bounds(g["titles_clean"]),
         "movies_by_year": lambda g: trends.movies_by_year(g["titles_clean"], a.movie_type),
         # genres

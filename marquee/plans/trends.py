@@ -13,19 +13,40 @@ def _mean(c: Column, digits: int | None) -> Column:
     return c if digits is None else round_half_away(c, digits)
 
 
-def kpi_summary(titles: DataFrame, digits: int | None = 6) -> DataFrame:
-    """One row: ``total_titles, avg_rating, total_votes, total_votes_millions, top_year``.
-
-    Two aggregation levels: per year (partial aggregation before the shuffle,
-    then one row per year), then one global row. ``top_year`` is the year with
-    most titles, the smallest such year on ties; null when there are no titles.
+def year_type_rollup(titles: DataFrame) -> DataFrame:
+    """Per (startYear, titleType): ``n, n_tconst, s_rating, n_rating, s_votes``.
+
+    One scan with partial aggregation; the output has one row per year and
+    type however large the input is. Every trend below is computed from it,
+    so a dashboard that caches it scans the titles once for the whole tab.
+    Null years and types are kept here (they count in the KPI totals) and
+    dropped where a trend groups by them.
     """
-    per_year = titles.groupBy("startYear").agg(
+    return titles.groupBy("startYear", "titleType").agg(
         F.count(F.lit(1)).alias("n"),
+        F.count("tconst").alias("n_tconst"),
         F.sum(F.col("averageRating").cast("double")).alias("s_rating"),
         F.count("averageRating").alias("n_rating"),
         F.sum("numVotes").alias("s_votes"),
     )
+
+
+def _mean_of(s: str, n: str) -> Column:
+    return F.sum(s) / F.nullif(F.sum(n), F.lit(0))
+
+
+def kpi_summary(titles: DataFrame | None, digits: int | None = 6, rollup: DataFrame | None = None) -> DataFrame:
+    """One row: ``total_titles, avg_rating, total_votes, total_votes_millions, top_year``.
+
+    From the year/type rollup: per year (tiny), then one global row.
+    ``top_year`` is the year with most titles, the smallest such year on
+    ties; null when there are no titles.
+    """
+    r = rollup if rollup is not None else year_type_rollup(titles)
+    per_year = r.groupBy("startYear").agg(
+        F.sum("n").alias("n"), F.sum("s_rating").alias("s_rating"),
+        F.sum("n_rating").alias("n_rating"), F.sum("s_votes").alias("s_votes"),
+    )
     # rows with a null year carry a null ordering value, which max_by skips
     ranked_year = F.max_by(
         F.col("startYear"),
@@ -34,17 +55,18 @@ def kpi_summary(titles: DataFrame, digits: int | None = 6) -> DataFrame:
     total_votes = F.coalesce(F.sum("s_votes"), F.lit(0)).cast("bigint")
     return per_year.agg(
         F.coalesce(F.sum("n"), F.lit(0)).cast("bigint").alias("total_titles"),
-        _mean(F.sum("s_rating") / F.nullif(F.sum("n_rating"), F.lit(0)), digits).alias("avg_rating"),
+        _mean(_mean_of("s_rating", "n_rating"), digits).alias("avg_rating"),
         total_votes.alias("total_votes"),
         (total_votes.cast("double") / F.lit(1_000_000.0)).alias("total_votes_millions"),
         ranked_year.cast("int").alias("top_year"),
     )
 
 
-def titles_by_year_type(titles: DataFrame) -> DataFrame:
+def titles_by_year_type(titles: DataFrame | None, rollup: DataFrame | None = None) -> DataFrame:
     """Titles per (year, type): ``startYear, titleType, count``."""
-    return non_null_keys(titles, ["startYear", "titleType"]).groupBy("startYear", "titleType").agg(
-        F.count(F.lit(1)).alias("count")
+    r = rollup if rollup is not None else year_type_rollup(titles)
+    return non_null_keys(r, ["startYear", "titleType"]).select(
+        "startYear", "titleType", F.col("n").cast("bigint").alias("count")
     )
 
 
@@ -52,39 +74,46 @@ def with_decade(df: DataFrame, year_col: str = "startYear") -> DataFrame:
     return df.withColumn("decade", decade(year_col))
 
 
-def titles_by_decade(titles: DataFrame) -> DataFrame:
-    return non_null_keys(with_decade(titles), ["decade"]).groupBy("decade").agg(
-        F.count(F.lit(1)).alias("count")
+def titles_by_decade(titles: DataFrame | None, rollup: DataFrame | None = None) -> DataFrame:
+    r = rollup if rollup is not None else year_type_rollup(titles)
+    return non_null_keys(with_decade(r), ["decade"]).groupBy("decade").agg(
+        F.sum("n").cast("bigint").alias("count")
     )
 
 
-def top_decade(titles: DataFrame) -> DataFrame:
+def top_decade(titles: DataFrame | None, rollup: DataFrame | None = None) -> DataFrame:
     """The decade with most titles (smallest on ties): ``decade, count``; empty -> 0 rows."""
-    return top_k(titles_by_decade(titles), [F.col("count").desc(), F.col("decade").asc()], 1)
+    return top_k(titles_by_decade(titles, rollup), [F.col("count").desc(), F.col("decade").asc()], 1)
 
 
-def production_growth(titles: DataFrame, year_lo: int, year_hi: int, span: int = 5) -> DataFrame:
+def production_growth(
+    titles: DataFrame | None, year_lo: int, year_hi: int, span: int = 5, rollup: DataFrame | None = None
+) -> DataFrame:
     """Growth from the first ``span`` years to the last ``span + 1`` years of the range.
 
     recent = ``year >= hi - span`` (the input is already capped at ``hi``);
     old = ``lo <= year < lo + span``. The windows may overlap. One row
     ``recent_count, old_count, growth_pct``, or no row when ``old`` is empty.
     """
+    r = rollup if rollup is not None else year_type_rollup(titles)
     y = F.col("startYear")
-    counts = titles.agg(
-        F.count_if(y >= F.lit(year_hi - span)).alias("recent_count"),
-        F.count_if((y >= F.lit(year_lo)) & (y < F.lit(year_lo + span))).alias("old_count"),
+    counts = r.agg(
+        F.coalesce(F.sum(F.when(y >= F.lit(year_hi - span), F.col("n"))), F.lit(0))
+        .cast("bigint").alias("recent_count"),
+        F.coalesce(F.sum(F.when((y >= F.lit(year_lo)) & (y < F.lit(year_lo + span)), F.col("n"))), F.lit(0))
+        .cast("bigint").alias("old_count"),
     )
     return counts.where(F.col("old_count") > 0).withColumn(
         "growth_pct", pct_change("recent_count", "old_count")
     )
 
 
-def rating_by_year(titles: DataFrame, digits: int | None = 6) -> DataFrame:
+def rating_by_year(titles: DataFrame | None, digits: int | None = 6, rollup: DataFrame | None = None) -> DataFrame:
     """Per year: mean rating and number of titles: ``startYear, avg_rating, count``."""
-    return non_null_keys(titles, ["startYear"]).groupBy("startYear").agg(
-        _mean(F.avg("averageRating"), digits).alias("avg_rating"),
-        F.count("tconst").alias("count"),
+    r = rollup if rollup is not None else year_type_rollup(titles)
+    return non_null_keys(r, ["startYear"]).groupBy("startYear").agg(
+        _mean(_mean_of("s_rating", "n_rating"), digits).alias("avg_rating"),
+        F.sum("n_tconst").cast("bigint").alias("count"),
     )
 
 
