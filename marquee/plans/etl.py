@@ -289,8 +289,12 @@ def build_stages(raw: RawSources, p: EtlParams, titles: DataFrame | None = None)
     crew = crew_of_kept_titles(raw.crew, t, p)
     if raw.crew_pairs is not None:
         pairs = raw.crew_pairs.select("tconst", "nconst")
-        dx = pairs.join(t.select("tconst"), "tconst", "left_semi")
-        dirs = directors_from_pairs(pairs, people_base(raw.people), t)
+        if p.assume_unique_titles:
+            dx = pairs.join(t.select("tconst"), "tconst", "left_semi")
+            dirs = directors_from_pairs(pairs, people_base(raw.people), t)
+        else:  # duplicate title ids multiply at both title joins, as inner joins do
+            dx = pairs.join(t.select("tconst"), "tconst", "inner")
+            dirs = directors(dx, people_base(raw.people), t)
     else:
         dx = directors_exploded(crew)
         dirs = (

@@ -161,3 +161,13 @@ def test_bad_number_fails_the_job(spark):
     bad = _raw(spark, "title.basics", [_basics_row("x1", "movie", "abc", "Drama")])
     with pytest.raises(Exception):
         etl.titles_base(bad, P).collect()
+
+
+def test_duplicate_title_ids_with_credit_pairs(spark, raw):
+    pairs = spark.createDataFrame([("t2", "p1"), ("t3", "p1"), ("t3", "p2"), ("t3", "p3")], "tconst string, nconst string")
+    dup = RawSources(**{**raw.__dict__, "crew_pairs": pairs,
+                        "ratings": raw.ratings.unionByName(raw.ratings.where("tconst = 't2'"))})
+    d = etl.build_stages(dup, EtlParams(assume_unique_titles=False)).directors.where("tconst = 't2'")
+    assert d.count() == 4
+    single = etl.build_stages(RawSources(**{**raw.__dict__, "crew_pairs": pairs}), P)
+    assert rows(single.directors) == rows(etl.build_stages(raw, P).directors)
