@@ -54,7 +54,7 @@ def cmd_verify(args) -> int:
         print(f"folder {args.dir} does not exist; run the etl command first")
         return 1
     spark = _session(args)
-    tables = open_tables(spark, args.dir, GOLD_TABLES)
+    tables = open_tables(spark, args.dir, GOLD_TABLES, verify_rows=True)
     for name in GOLD_TABLES:
         if name not in tables:
             print(f"{name}: missing or unreadable")

@@ -75,17 +75,25 @@ def dataset_summary(profile: DataFrame, expected: Sequence[str]) -> DataFrame:
     )
 
 
-def open_tables(spark: SparkSession, root: str, names: Sequence[str]) -> dict[str, DataFrame]:
+def open_tables(
+    spark: SparkSession, root: str, names: Sequence[str], verify_rows: bool = False
+) -> dict[str, DataFrame]:
     """Open ``root/<name>.parquet`` for each name; skip missing or unreadable ones.
 
-    Opening reads Parquet footers only (schema), no rows; the loop runs over
-    table names, not over data.
+    Opening reads Parquet footers only (schema). Reads are lazy, so a damaged
+    data page would only fail later; ``verify_rows`` also decodes every page
+    of every column (one distributed aggregate of ``count(col)`` per table;
+    a plain ``count()`` would be answered from row-group metadata) and skips
+    tables whose scan fails. The loop runs over table names, not over data.
     """
     out: dict[str, DataFrame] = {}
     for name in names:
         try:
-            out[name] = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
-        except Exception:  # missing path, not Parquet, unreadable footer
+            df = spark.read.parquet(f"{root.rstrip('/')}/{name}.parquet")
+            if verify_rows:
+                df.agg(*[F.count(_q(c)) for c in df.columns]).collect()
+            out[name] = df
+        except Exception:  # missing path, not Parquet, unreadable footer or page
             continue
     return out
 

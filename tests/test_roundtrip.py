@@ -181,3 +181,24 @@ def test_cached_dashboard_views_equal_uncached(spark, raw_dir, tmp_out):
     assert views.titles.storageLevel.useMemory
     views.unpersist()
     assert not views._kept
+
+
+def test_open_tables_skips_damaged_files(spark, tmp_out):
+
+
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    spark.range(100).write.parquet(f"{tmp_out}/good.parquet")
+    # A file without a Hadoop checksum companion, so only its pages are damaged:
+    # the footer opens, the scan fails.
+    f = f"{tmp_out}/bad.parquet"
+    pq.write_table(pa.table({"id": list(range(100000))}), f)
+    size = os.path.getsize(f)
+    with open(f, "r+b") as fh:  # keep magic and footer, damage the data pages between
+        fh.seek(size - 8)
+        footer_len = int.from_bytes(fh.read(4), "little")
+        fh.seek(4)
+        fh.write(b"\xff" * (size - 8 - footer_len - 4))
+    assert set(open_tables(spark, tmp_out, ["good", "bad", "none"], verify_rows=True)) == {"good"}
+    assert set(open_tables(spark, tmp_out, ["good", "bad", "none"])) == {"good", "bad"}
