@@ -81,9 +81,10 @@ def driver_sources(spark: SparkSession, sf_dir: str) -> RawSources:
     # Director credits as distinct (order, supplier) rows: partial
     # de-duplication before the shuffle, no per-order list. The ETL joins
     # these rows directly.
-    crew_pairs = lineitem.select(
-        _id("l_orderkey").alias("tconst"), _id("l_suppkey").alias("nconst")
-    ).distinct()
+    crew_pairs = (
+        lineitem.select("l_orderkey", "l_suppkey").distinct()  # on the integer keys
+        .select(_id("l_orderkey").alias("tconst"), _id("l_suppkey").alias("nconst"))
+    )
     # The raw file's comma-list form of the same credits, for the stage that
     # returns crew rows as such (``crew_of_kept_titles``).
     crew = lineitem.groupBy("l_orderkey").agg(
