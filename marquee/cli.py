@@ -35,7 +35,7 @@ def cmd_etl(args) -> int:
     )
     raw = read_landed(spark, args.raw) if args.landed else read_raw_dir(spark, args.raw, args.raw_partitions)
     t0 = time.time()
-    paths = etl.run_etl(spark, RawSources.from_raw_dict(raw), args.out, p)
+    paths = etl.run_etl(spark, RawSources.from_raw_dict(raw), args.out, p, partition_by_type=args.partition_by_type)
     from marquee.sources import read_gold
 
     counts = {n: df.count() for n, df in read_gold(spark, args.out).items()}
@@ -96,6 +96,8 @@ def main(argv: list[str] | None = None) -> int:
     e.add_argument("--year-hi", type=int, default=2024)
     e.add_argument("--min-votes", type=int, default=1000)
     e.add_argument("--exclude-adult", action="store_true")
+    e.add_argument("--partition-by-type", action="store_true",
+                   help="titleType= folders for the title-keyed tables (folder pruning on type filters)")
     e.set_defaults(fn=cmd_etl)
 
     v = sub.add_parser("verify")

@@ -351,12 +351,16 @@ GOLD_CLUSTERING = {
 }
 
 
+TYPE_PARTITIONED = ("titles_clean", "directors", "actors", "countries")
+
+
 def run_etl(
     spark: SparkSession,
     raw: RawSources,
     out_dir: str,
     p: EtlParams,
     concurrent_writes: int = 5,
+    partition_by_type: bool = False,
 ) -> dict[str, str]:
     """Write the six gold tables under ``out_dir``; return their paths.
 
@@ -368,22 +372,32 @@ def run_etl(
     The five dependent writes are independent Spark jobs; they are submitted
     from ``concurrent_writes`` driver threads so their stages share the
     executors instead of running one after another.
+
+    ``partition_by_type`` lays the title-keyed tables out in ``titleType=``
+    folders (rows clustered by year inside), so a type filter skips whole
+    folders without opening their files. ``sources.read_gold`` restores the
+    column order, which Spark changes for partition columns.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     root = out_dir.rstrip("/")
     paths = {name: f"{root}/{name}.parquet" for name in
              ("titles_clean", "genres_by_year", "directors", "actors", "countries", "episodes")}
+    def layout(name: str) -> dict:
+        if partition_by_type and name in TYPE_PARTITIONED:
+            return {"partition_by": ["titleType"], "cluster_by": ["titleType", "startYear"]}
+        return {"cluster_by": GOLD_CLUSTERING.get(name)}
+
     first = build_stages(raw, p)
-    write_table(first.titles_clean, paths["titles_clean"], cluster_by=GOLD_CLUSTERING["titles_clean"])
-    titles = spark.read.parquet(paths["titles_clean"])
+    write_table(first.titles_clean, paths["titles_clean"], **layout("titles_clean"))
+    titles = spark.read.parquet(paths["titles_clean"]).select(*TITLE_COLUMNS)
     st = build_stages(raw, p, titles=titles)
     jobs = [
         lambda: write_table(st.genres_by_year, paths["genres_by_year"], sort_by=["startYear", "genre", "titleType"]),
-        lambda: write_table(st.directors, paths["directors"], cluster_by=GOLD_CLUSTERING["directors"]),
-        lambda: write_table(st.actors, paths["actors"], cluster_by=GOLD_CLUSTERING["actors"]),
-        lambda: write_table(st.countries, paths["countries"], cluster_by=GOLD_CLUSTERING["countries"]),
-        lambda: write_table(st.episodes, paths["episodes"], cluster_by=GOLD_CLUSTERING["episodes"]),
+        lambda: write_table(st.directors, paths["directors"], **layout("directors")),
+        lambda: write_table(st.actors, paths["actors"], **layout("actors")),
+        lambda: write_table(st.countries, paths["countries"], **layout("countries")),
+        lambda: write_table(st.episodes, paths["episodes"], **layout("episodes")),
     ]
     if concurrent_writes <= 1:
         for job in jobs:

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
-from marquee.schemas import GOLD_TABLES
+from marquee.schemas import GOLD_SCHEMAS, GOLD_TABLES
 
 
 def read_gold(spark: SparkSession, root: str, names: Sequence[str] = GOLD_TABLES) -> dict[str, DataFrame]:
@@ -17,4 +17,10 @@ def read_gold(spark: SparkSession, root: str, names: Sequence[str] = GOLD_TABLES
     filtered table may ``cache()`` it themselves.
     """
     base = root.rstrip("/")
-    return {n: spark.read.parquet(f"{base}/{n}.parquet") for n in names}
+    out = {}
+    for n in names:
+        df = spark.read.parquet(f"{base}/{n}.parquet")
+        # partitioned layouts put the partition column last; keep the canonical order
+        canonical = GOLD_SCHEMAS[n].fieldNames() if n in GOLD_SCHEMAS else df.columns
+        out[n] = df.select(*canonical) if sorted(canonical) == sorted(df.columns) else df
+    return out

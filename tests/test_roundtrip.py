@@ -202,3 +202,26 @@ def test_open_tables_skips_damaged_files(spark, tmp_out):
         fh.write(b"\xff" * (size - 8 - footer_len - 4))
     assert set(open_tables(spark, tmp_out, ["good", "bad", "none"], verify_rows=True)) == {"good"}
     assert set(open_tables(spark, tmp_out, ["good", "bad", "none"])) == {"good", "bad"}
+
+
+def test_type_partitioned_layout(spark, raw_dir, tmp_out):
+    import contextlib
+    import io
+
+    from marquee.config import TitleFilter
+    from marquee.operators import title_filter
+
+    raw = RawSources.from_raw_dict(read_raw_dir(spark, raw_dir))
+    etl.run_etl(spark, raw, f"{tmp_out}/plain", P)
+    etl.run_etl(spark, raw, f"{tmp_out}/parted", P, partition_by_type=True)
+    assert os.path.isdir(f"{tmp_out}/parted/titles_clean.parquet/titleType=movie")
+    a, b = read_gold(spark, f"{tmp_out}/plain"), read_gold(spark, f"{tmp_out}/parted")
+    for name in GOLD_TABLES:
+        assert b[name].schema == a[name].schema, name  # canonical column order restored
+        assert rows(b[name]) == rows(a[name]), name
+    buf = io.StringIO()
+    with contextlib.redirect_stdout(buf):
+        title_filter(b["directors"], TitleFilter(1990, 2024, ("movie",), 5.0)).explain("formatted")
+    import re
+
+    assert re.search(r"PartitionFilters: \[isnotnull\(titleType#\d+\), \(titleType#\d+ = movie\)\]", buf.getvalue())
