@@ -90,12 +90,21 @@ def season_ratings(
     The series is looked up by title; among homonyms the smallest id wins.
     Without a title, the first entry of the pick list is used. The lookup
     reduces to one row, so joining it to the episodes is a bounded broadcast.
+
+    The default pick reads the season table once: per title, the smallest id
+    and the title's best pick key ``(-num_seasons, seriesId)``; then the id of
+    the title holding the overall best key. Both steps aggregate partially.
     """
     if series_title is None:
-        title = top_k(analysis, _pick_order(), 1).select("primaryTitle")
-        named = analysis.join(F.broadcast(title), "primaryTitle", "left_semi")
+        best = F.struct((-F.col("num_seasons")).alias("k1"), F.col("seriesId").alias("k2"))
+        per_title = analysis.groupBy("primaryTitle").agg(
+            # a null title matches no lookup
+            F.min(F.when(F.col("primaryTitle").isNotNull(), F.col("seriesId"))).alias("first_id"),
+            F.min(best).alias("best"),
+        )
+        target = per_title.agg(F.min_by("first_id", "best").alias("seriesId"))
     else:
         named = analysis.where(F.col("primaryTitle") == F.lit(series_title))
-    target = named.agg(F.min("seriesId").alias("seriesId"))
+        target = named.agg(F.min("seriesId").alias("seriesId"))
     chosen = episodes.join(F.broadcast(target), "seriesId", "left_semi")
     return chosen.groupBy("seasonNumber").agg(_mean(F.avg("episodeRating"), digits).alias("episodeRating"))

@@ -35,10 +35,12 @@ def summarise(df) -> dict[str, str]:
     text = plan_text(df)
     formatted = plan_text(df, "formatted")
     pushed = sorted({m.strip()[1:-1] for m in re.findall(r"PushedFilters: (.*)", formatted) if m.strip() != "[]"})
+    own = "\n".join(line for line in text.splitlines() if "ReusedExchange" not in line)
     return {
         "shuffles": str(len(re.findall(r"\bExchange hashpartitioning|\bExchange rangepartitioning|"
-                                       r"\bExchange SinglePartition|\bExchange RoundRobin", text))),
-        "single-partition": str(text.count("Exchange SinglePartition")),
+                                       r"\bExchange SinglePartition|\bExchange RoundRobin", own))),
+        "reused": str(text.count("ReusedExchange")),
+        "single-partition": str(own.count("Exchange SinglePartition")),
         "broadcasts": str(text.count("BroadcastExchange")),
         "joins": ", ".join(sorted(set(re.findall(r"(SortMergeJoin|BroadcastHashJoin|ShuffledHashJoin|"
                                                  r"BroadcastNestedLoopJoin|CartesianProduct)", text)))) or "-",
@@ -74,7 +76,7 @@ def main() -> None:
     for name, fn in ANALYSES.items():
         rows.append((name, summarise(fn(gold))))
 
-    cols = ["shuffles", "single-partition", "broadcasts", "joins", "window limit", "top-k", "pushed filters"]
+    cols = ["shuffles", "reused", "single-partition", "broadcasts", "joins", "window limit", "top-k", "pushed filters"]
     print("# Physical plans (generated by tools/plan_report.py)\n")
     print(__doc__.split("\n\n", 2)[2].strip() + "\n")
     print(f"Input: `{sf}` mapped to the catalogue shape. ETL rows include the driver-table mapping; "
