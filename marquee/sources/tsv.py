@@ -52,15 +52,32 @@ def read_raw_dir(spark: SparkSession, raw_dir: str, partitions: int | None = Non
     return {name: read_raw(spark, f"{root}/{fn}", name, partitions) for name, fn in RAW_FILES.items()}
 
 
-def land_raw_as_parquet(spark: SparkSession, raw_dir: str, out_dir: str, partitions: int | None = None) -> None:
+def land_raw_as_parquet(
+    spark: SparkSession,
+    raw_dir: str,
+    out_dir: str,
+    partitions: int | None = None,
+    concurrent_jobs: int = 7,
+) -> None:
     """Convert each raw file once to ZSTD Parquet (splittable, columnar).
 
     Later ETL runs read the landed copy with full parallelism and column
-    pruning instead of decompressing a single gzip stream per file.
+    pruning instead of decompressing a single gzip stream per file. Each
+    gzip file is one task whatever the cluster size, so the seven landings
+    (independent jobs) are submitted together from driver threads rather
+    than one after another.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     root = out_dir.rstrip("/")
-    for name, df in read_raw_dir(spark, raw_dir, partitions).items():
-        df.write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}")
+    frames = read_raw_dir(spark, raw_dir, partitions)
+
+    def land(name: str) -> None:
+        frames[name].write.mode("overwrite").option("compression", "zstd").parquet(f"{root}/{name}")
+
+    with ThreadPoolExecutor(max_workers=max(1, concurrent_jobs)) as pool:
+        for fut in [pool.submit(land, name) for name in frames]:
+            fut.result()  # re-raise the first failure
 
 
 def read_landed(spark: SparkSession, landed_dir: str) -> dict[str, DataFrame]:
