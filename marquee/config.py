@@ -69,6 +69,9 @@ class AnalysisParams:
     growth_span: int = 5
     preferred_genres: tuple[str, ...] = CATALOGUE_PREFERRED_GENRES
     preferred_regions: tuple[str, ...] = CATALOGUE_PREFERRED_REGIONS
+    # members shown in the timelines; None = the picker's default selection
+    selected_genres: tuple[str, ...] | None = None
+    selected_regions: tuple[str, ...] | None = None
     movie_type: str = "movie"
     # Means are reported (and ranked) at this many decimals so that results are
     # reproducible across engines and summation orders.
@@ -103,5 +106,7 @@ DRIVER_ANALYSIS = AnalysisParams(
     growth_span=2,
     preferred_genres=("ring", "gear", "bolt", "anvil"),
     preferred_regions=("NATION_10", "NATION_12", "NATION_17", "NATION_23"),
+    selected_genres=("ring", "gear", "bolt", "anvil"),
+    selected_regions=("NATION_10", "NATION_12", "NATION_17", "NATION_23"),
     movie_type="3-MEDIUM",
 )

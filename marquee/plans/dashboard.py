@@ -122,7 +122,10 @@ def analyses(a: AnalysisParams, views: Views | None = None) -> dict[str, Callabl
         # genres
         "top_genres": lambda g: genres.top_genres(v(g).genre_cells, 10),
         "top_rated_genres": lambda g: genres.top_rated_genres(v(g).genre_cells, 10, d),
-        "genre_timeline": lambda g: genres.genre_timeline(v(g).genre_cells, a.preferred_genres),
+        "genre_timeline": lambda g: genres.genre_timeline(
+            v(g).genre_cells,
+            a.selected_genres if a.selected_genres is not None
+            else genres.default_genres(v(g).genre_cells, a.preferred_genres)),
         "distinct_genres": lambda g: genres.distinct_genres(v(g).genre_cells),
         "default_genres": lambda g: genres.default_genres(v(g).genre_cells, a.preferred_genres),
     }
@@ -141,7 +144,10 @@ def analyses(a: AnalysisParams, views: Views | None = None) -> dict[str, Callabl
         # geography
         "top_countries": lambda g: geography.top_countries(v(g).regions, 20),
         "top_rated_countries": lambda g: geography.top_rated_countries(v(g).regions, a.min_productions, 20, d),
-        "country_timeline": lambda g: geography.country_timeline(v(g).regions, a.preferred_regions),
+        "country_timeline": lambda g: geography.country_timeline(
+            v(g).regions,
+            a.selected_regions if a.selected_regions is not None
+            else geography.default_regions(v(g).regions, a.preferred_regions)),
         "distinct_regions": lambda g: geography.distinct_regions(v(g).regions),
         "default_regions": lambda g: geography.default_regions(v(g).regions, a.preferred_regions),
         # series

@@ -32,9 +32,18 @@ def top_rated_genres(cells: DataFrame, k: int = 10, digits: int | None = 6) -> D
     return top_k(per, [F.col("avg_rating").desc(), F.col("genre").asc()], k)
 
 
-def genre_timeline(cells: DataFrame, selected: Sequence[str]) -> DataFrame:
-    """Titles per (year, genre) for the selected genres: ``startYear, genre, count``."""
-    sel = non_null_keys(member_filter(cells, "genre", selected), ["startYear", "genre"])
+def genre_timeline(cells: DataFrame, selected: Sequence[str] | DataFrame) -> DataFrame:
+    """Titles per (year, genre) for the selected genres: ``startYear, genre, count``.
+
+    ``selected`` is a list of genres, or a DataFrame with a ``genre`` column
+    such as ``default_genres`` (the picker's default, at most n rows: a
+    bounded broadcast).
+    """
+    if isinstance(selected, DataFrame):
+        chosen = cells.join(F.broadcast(selected.select("genre")), "genre", "left_semi")
+    else:
+        chosen = member_filter(cells, "genre", selected)
+    sel = non_null_keys(chosen, ["startYear", "genre"])
     return sel.groupBy("startYear", "genre").agg(F.sum("count").cast("bigint").alias("count"))
 
 

@@ -31,9 +31,17 @@ def top_rated_countries(regions: DataFrame, min_productions: int = 50, k: int =
     return top_k(per, [F.col("avg_rating").desc(), F.col("region").asc()], k)
 
 
-def country_timeline(regions: DataFrame, selected: Sequence[str]) -> DataFrame:
-    """Titles per (year, region) for the selected regions: ``startYear, region, count``."""
-    sel = non_null_keys(member_filter(regions, "region", selected), ["startYear", "region"])
+def country_timeline(regions: DataFrame, selected: Sequence[str] | DataFrame) -> DataFrame:
+    """Titles per (year, region) for the selected regions: ``startYear, region, count``.
+
+    ``selected`` is a list of regions, or a DataFrame with a ``region`` column
+    such as ``default_regions`` (at most n rows: a bounded broadcast).
+    """
+    if isinstance(selected, DataFrame):
+        chosen = regions.join(F.broadcast(selected.select("region")), "region", "left_semi")
+    else:
+        chosen = member_filter(regions, "region", selected)
+    sel = non_null_keys(chosen, ["startYear", "region"])
     return sel.groupBy("startYear", "region").agg(F.count(F.lit(1)).alias("count"))
 
 

@@ -151,3 +151,23 @@ def test_top_series_ties(spark):
                          ("c", "tvSeries", 2000, 8.0, 50)])
     got = [r["primaryTitle"] for r in series.top_series(ser, 2).collect()]
     assert got == ["Tc", "Ta"]
+
+
+def test_timelines_default_to_the_pickers_default(spark):
+    from marquee.config import AnalysisParams
+
+    cells = spark.createDataFrame(
+        [(2000, g, "movie", 1, 7.0, 10) for g in ("Action", "Anime", "Comedy", "Drama", "Zoo")], GENRES_BY_YEAR)
+    gold = {"genres_by_year": cells}
+    # 'Thriller' is absent: the default selection is the first four genres in order
+    a = AnalysisParams(filter=TitleFilter(1990, 2024, ("movie",), 5.0))
+    tl = dashboard_frames_subset(gold, a, "genre_timeline")
+    assert sorted(r["genre"] for r in tl.collect()) == ["Action", "Anime", "Comedy", "Drama"]
+    explicit = AnalysisParams(filter=a.filter, selected_genres=("Zoo",))
+    assert [r["genre"] for r in dashboard_frames_subset(gold, explicit, "genre_timeline").collect()] == ["Zoo"]
+
+
+def dashboard_frames_subset(gold, a, name):
+    from marquee.plans.dashboard import analyses
+
+    return analyses(a)[name](gold)
