@@ -1,7 +1,8 @@
-"""Command line: ``python -m marquee.cli {etl,verify,land} ...``.
+"""Command line: ``python -m marquee.cli {etl,verify,dashboard,land} ...``.
 
 * ``etl``    raw catalogue folder (``*.tsv.gz`` or landed Parquet) -> six gold tables
 * ``verify`` profile of a gold folder: rows, columns, nulls, sample, sizes, verdict
+* ``dashboard`` every dashboard table for one set of filter values
 * ``land``   convert the raw gz TSV files once to ZSTD Parquet
 
 Reports are printed with ``DataFrame.show``; every number in them is
@@ -72,6 +73,35 @@ def cmd_verify(args) -> int:
     return 2
 
 
+def cmd_dashboard(args) -> int:
+    from marquee.config import AnalysisParams, TitleFilter
+    from marquee.plans.dashboard import dashboard_views
+    from marquee.sources import read_gold
+
+    spark = _session(args)
+    a = AnalysisParams(
+        filter=TitleFilter(args.year_lo, args.year_hi, tuple(args.types), args.min_rating),
+        min_works=args.min_works,
+        min_productions=args.min_productions,
+        selected_genres=tuple(args.genres) if args.genres else None,
+        selected_regions=tuple(args.regions) if args.regions else None,
+        decade=args.decade,
+        series_title=args.series_title,
+    )
+    views, frames = dashboard_views(read_gold(spark, args.dir), a)
+    unknown = [n for n in (args.only or []) if n not in frames]
+    if unknown:
+        print(f"unknown analyses: {', '.join(unknown)}; known: {', '.join(frames)}")
+        return 2
+    try:
+        for name in args.only or frames:
+            print(name)
+            frames[name].show(args.rows, truncate=False)
+    finally:
+        views.unpersist()
+    return 0
+
+
 def cmd_land(args) -> int:
     from marquee.sources import land_raw_as_parquet
 
@@ -105,6 +135,22 @@ def main(argv: list[str] | None = None) -> int:
     v.add_argument("--limit-mb", type=int, default=100)
     v.set_defaults(fn=cmd_verify)
 
+    d = sub.add_parser("dashboard", help="every dashboard table for one set of filter values")
+    d.add_argument("--dir", required=True, help="gold tables folder")
+    d.add_argument("--year-lo", type=int, default=1990)
+    d.add_argument("--year-hi", type=int, default=2024)
+    d.add_argument("--types", nargs="+", default=["movie", "tvSeries"])
+    d.add_argument("--min-rating", type=float, default=5.0)
+    d.add_argument("--min-works", type=int, default=5)
+    d.add_argument("--min-productions", type=int, default=50)
+    d.add_argument("--genres", nargs="*", help="timeline genres (default: the picker's default)")
+    d.add_argument("--regions", nargs="*", help="timeline regions (default: the picker's default)")
+    d.add_argument("--decade", type=int, default=None, help="people decade (default: latest)")
+    d.add_argument("--series-title", default=None, help="season chart series (default: most seasons)")
+    d.add_argument("--only", nargs="*", help="analysis names to show")
+    d.add_argument("--rows", type=int, default=20)
+    d.set_defaults(fn=cmd_dashboard)
+
     la = sub.add_parser("land")
     la.add_argument("--raw", required=True)
     la.add_argument("--out", required=True)

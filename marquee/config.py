@@ -72,6 +72,9 @@ class AnalysisParams:
     # members shown in the timelines; None = the picker's default selection
     selected_genres: tuple[str, ...] | None = None
     selected_regions: tuple[str, ...] | None = None
+    # decade of the people tab and series of the season chart; None = the pickers' defaults
+    decade: int | None = None
+    series_title: str | None = None
     movie_type: str = "movie"
     # Means are reported (and ranked) at this many decimals so that results are
     # reproducible across engines and summation orders.

@@ -137,7 +137,8 @@ def analyses(a: AnalysisParams, views: Views | None = None) -> dict[str, Callabl
                 v(g).people(k), n, a.min_works, 15, d),
             f"{kind}_by_decade": lambda g, k=kind, n=name: people.people_by_decade(v(g).people(k), n),
             f"top_{kind}_per_decade": lambda g, k=kind, n=name: people.top_people_per_decade(v(g).people(k), n, 3),
-            f"top_{kind}_in_decade": lambda g, k=kind, n=name: people.top_people_in_decade(v(g).people(k), n, 3),
+            f"top_{kind}_in_decade": lambda g, k=kind, n=name: people.top_people_in_decade(
+                v(g).people(k), n, 3, a.decade),
             f"{kind}_decades": lambda g, k=kind, n=name: people.distinct_decades(v(g).people(k), n, 3),
         })
     out.update({
@@ -157,7 +158,7 @@ def analyses(a: AnalysisParams, views: Views | None = None) -> dict[str, Callabl
         "series_most_seasons": lambda g: series.series_most_seasons(v(g).seasons, 15),
         "series_most_episodes": lambda g: series.series_most_episodes(v(g).seasons, 15),
         "series_picklist": lambda g: series.series_picklist(v(g).seasons, 100),
-        "season_ratings": lambda g: series.season_ratings(v(g).episodes, v(g).seasons, None, d),
+        "season_ratings": lambda g: series.season_ratings(v(g).episodes, v(g).seasons, a.series_title, d),
         # profile of the gold tables
         "table_profile": lambda g: table_profile({n: g[n] for n in GOLD_TABLES}),
         "null_profile": lambda g: null_profile({n: g[n] for n in GOLD_TABLES}),

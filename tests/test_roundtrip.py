@@ -225,3 +225,16 @@ def test_type_partitioned_layout(spark, raw_dir, tmp_out):
     import re
 
     assert re.search(r"PartitionFilters: \[isnotnull\(titleType#\d+\), \(titleType#\d+ = movie\)\]", buf.getvalue())
+
+
+def test_cli_dashboard(spark, raw_dir, tmp_out, capsys):
+    from marquee.cli import main
+
+    out = f"{tmp_out}/dash_gold"
+    assert main(["etl", "--raw", raw_dir, "--out", out, "--year-lo", "1990"]) == 0
+    capsys.readouterr()
+    assert main(["dashboard", "--dir", out, "--min-works", "1", "--series-title", "Show",
+                 "--only", "kpi_summary", "season_ratings", "top_directors_in_decade"]) == 0
+    text = capsys.readouterr().out
+    assert "total_titles" in text and "Ann Lee" in text and "8.8" in text
+    assert main(["dashboard", "--dir", out, "--only", "no_such_table"]) == 2
