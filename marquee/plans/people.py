@@ -70,6 +70,10 @@ def top_people_in_decade(people: DataFrame, name_col: str, n: int = 3, decade_va
 
 
 def distinct_decades(people: DataFrame, name_col: str, n: int = 3) -> DataFrame:
-    """Decades offered by the picker, latest first: ``decade``."""
-    tops = top_people_per_decade(people, name_col, n)
-    return tops.select("decade").distinct().orderBy(F.col("decade").desc())
+    """Decades offered by the picker, latest first: ``decade``.
+
+    The picker lists the decades of the per-decade top-``n`` table; a decade
+    is there exactly when it has any credit, so the window is not needed.
+    """
+    per = people_by_decade(people, name_col)
+    return per.select("decade").distinct().orderBy(F.col("decade").desc())
