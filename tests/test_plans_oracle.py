@@ -113,3 +113,13 @@ def test_director_pairs_equal_split_lists(spark):
     assert rows(a.directors) == rows(b.directors)
     assert rows(a.directors_exploded) == rows(b.directors_exploded)
     assert "collect_set" not in plan_of(a.directors)
+
+
+def test_no_cross_joins_or_python_udfs(spark, gold):
+    st = stages(spark, SF_SMALL)
+    plans = {f"etl:{n}": getattr(st, n) for n in (
+        "titles_clean", "genres_by_year", "directors", "actors", "countries", "episodes")}
+    plans.update({n: fn(gold) for n, fn in ANALYSES.items()})
+    banned = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
+    offenders = {n: [b for b in banned if b in plan_of(df)] for n, df in plans.items()}
+    assert {n: b for n, b in offenders.items() if b} == {}
