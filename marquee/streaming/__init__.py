@@ -1,3 +1,3 @@
 """Structured Streaming: incremental landing of raw catalogue drops."""
 
-from marquee.streaming.landing import land_stream  # noqa: F401
+from marquee.streaming.landing import land_stream, land_streams  # noqa: F401

@@ -39,7 +39,8 @@ def land_stream(
     """Start an ``availableNow`` query landing new files of one raw table.
 
     ``drop_dir`` receives files of table ``name`` (e.g. ``title.basics``);
-    ``sample_path`` is any one of them (its header fixes the schema). The
+    ``sample_path`` is one of them, or the folder itself (the header fixes
+    the schema). The
     checkpoint must be in a folder every executor and the driver can reach;
     it makes the landing exactly-once across restarts and lost executors.
     Returns the started query; call ``awaitTermination()`` to wait.
@@ -63,3 +64,35 @@ def land_stream(
         .trigger(availableNow=True)
         .start()
     )
+
+
+def land_streams(
+    spark: SparkSession,
+    drop_root: str,
+    out_root: str,
+    checkpoint_root: str,
+    names: tuple[str, ...] | None = None,
+) -> dict[str, int]:
+    """Land new files of every raw table at once; return rows landed so far per table.
+
+    ``drop_root/<name>/`` receives the files of table ``name`` (e.g.
+    ``title.basics``); each table lands to ``out_root/<name>`` with its own
+    checkpoint under ``checkpoint_root``. The ``availableNow`` queries run
+    concurrently (every gzip file is a single task) and are all awaited.
+    Tables whose drop folder is empty or missing are skipped.
+    """
+    from pyspark.errors import AnalysisException
+
+    drop_root, out_root, checkpoint_root = (p.rstrip("/") for p in (drop_root, out_root, checkpoint_root))
+    started = {}
+    for name in names or tuple(RAW_COLUMNS):
+        folder = f"{drop_root}/{name}"
+        try:  # Spark lists the folder (any filesystem) and reads a header from it
+            started[name] = land_stream(
+                spark, name, folder, folder, f"{out_root}/{name}", f"{checkpoint_root}/{name}"
+            )
+        except AnalysisException:  # missing or empty drop folder
+            continue
+    for q in started.values():
+        q.awaitTermination()
+    return {name: spark.read.parquet(f"{out_root}/{name}").count() for name in started}

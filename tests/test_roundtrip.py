@@ -238,3 +238,18 @@ def test_cli_dashboard(spark, raw_dir, tmp_out, capsys):
     text = capsys.readouterr().out
     assert "total_titles" in text and "Ann Lee" in text and "8.8" in text
     assert main(["dashboard", "--dir", out, "--only", "no_such_table"]) == 2
+
+
+def test_land_all_streams(spark, raw_dir, tmp_out):
+    import shutil
+
+    from marquee.streaming import land_streams
+
+    drop = f"{tmp_out}/drops"
+    for name in ("title.basics", "title.ratings", "title.crew"):
+        os.makedirs(f"{drop}/{name}")
+        shutil.copy(os.path.join(raw_dir, f"{name}.tsv.gz"), f"{drop}/{name}/part1.tsv.gz")
+    got = land_streams(spark, drop, f"{tmp_out}/landed_all", f"{tmp_out}/ckpt_all")
+    assert got == {"title.basics": 5, "title.ratings": 5, "title.crew": 3}
+    again = land_streams(spark, drop, f"{tmp_out}/landed_all", f"{tmp_out}/ckpt_all")
+    assert again == got  # nothing new: the checkpoints remember the landed files
