@@ -123,3 +123,10 @@ def test_no_cross_joins_or_python_udfs(spark, gold):
     banned = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython", "ArrowEvalPython")
     offenders = {n: [b for b in banned if b in plan_of(df)] for n, df in plans.items()}
     assert {n: b for n, b in offenders.items() if b} == {}
+
+
+def test_gold_row_counts_match_the_survey_probe(gold):
+    # FIXTURES.md §4, sf0.001 column
+    want = {"titles_clean": 803, "genres_by_year": 369, "directors": 2967,
+            "actors": 1638, "countries": 2372, "episodes": 212}
+    assert {name: gold[name].count() for name in want} == want
