@@ -47,9 +47,21 @@ def read_raw(
 
 
 def read_raw_dir(spark: SparkSession, raw_dir: str, partitions: int | None = None) -> dict[str, DataFrame]:
-    """All seven raw files of a catalogue folder, keyed by logical name."""
+    """All seven raw files of a catalogue folder, keyed by logical name.
+
+    ``<name>.tsv.gz`` is read when present, else an uncompressed
+    ``<name>.tsv`` (which, unlike gzip, Spark splits across tasks).
+    """
+    from pyspark.errors import AnalysisException
+
     root = raw_dir.rstrip("/")
-    return {name: read_raw(spark, f"{root}/{fn}", name, partitions) for name, fn in RAW_FILES.items()}
+    out = {}
+    for name, fn in RAW_FILES.items():
+        try:
+            out[name] = read_raw(spark, f"{root}/{fn}", name, partitions)
+        except AnalysisException:  # no gzip file: the uncompressed one
+            out[name] = read_raw(spark, f"{root}/{name}.tsv", name, partitions)
+    return out
 
 
 def land_raw_as_parquet(

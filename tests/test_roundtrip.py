@@ -253,3 +253,20 @@ def test_land_all_streams(spark, raw_dir, tmp_out):
     assert got == {"title.basics": 5, "title.ratings": 5, "title.crew": 3}
     again = land_streams(spark, drop, f"{tmp_out}/landed_all", f"{tmp_out}/ckpt_all")
     assert again == got  # nothing new: the checkpoints remember the landed files
+
+
+def test_uncompressed_raw_files(spark, raw_dir, tmp_out):
+    import shutil
+
+    plain = f"{tmp_out}/plain_raw"
+    os.makedirs(plain)
+    for name in FILES:
+        src = os.path.join(raw_dir, f"{name}.tsv.gz")
+        if name == "title.basics":  # one table uncompressed, the others as gzip
+            with gzip.open(src, "rb") as fin, open(f"{plain}/{name}.tsv", "wb") as fout:
+                fout.write(fin.read())
+        else:
+            shutil.copy(src, plain)
+    a = etl.build_gold(RawSources.from_raw_dict(read_raw_dir(spark, plain)), P)
+    b = etl.build_gold(RawSources.from_raw_dict(read_raw_dir(spark, raw_dir)), P)
+    assert rows(a["titles_clean"]) == rows(b["titles_clean"])
