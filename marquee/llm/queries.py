@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exactdedup, langid, packing, quality, simhash, tokencount, toxicity
+from . import chat, decontam, exactdedup, langid, linededup, packing, quality, simhash, tokencount, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -56,6 +56,40 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["op4_packing"] = op4_packing
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = linededup.line_dedup(table(spark, sf_dir, "documents"), threshold=1)
+    return found.withColumn("first_docs", F.concat_ws(",", F.col("first_docs").cast("array<string>")))
+
+
+QUERIES["op5_line_dedup"] = op5_line_dedup
+# Within one edit: equal after one code point of both is struck out at one
+# place, or one line is the other with one code point struck out.
+ORACLE["op5_line_dedup"] = r"""
+WITH RECURSIVE occ AS (
+  SELECT doc_id, pos, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line,
+                                       generate_subscripts(string_split(text, chr(10)), 1) AS pos FROM documents)
+  WHERE regexp_replace(line, '[\x20\x09-\x0D]', '', 'g') <> ''
+), lines AS (SELECT line, length(line) AS n, row_number() OVER (ORDER BY line) AS id FROM (SELECT DISTINCT line FROM occ)
+), cuts AS (SELECT id, n, i, left(line, i - 1) AS l, substr(line, i + 1) AS r
+            FROM (SELECT *, unnest(range(1, n + 1)) AS i FROM lines)
+), struck AS (SELECT id, n, i, hash(l, r) AS h, l || r AS joined FROM cuts
+), links AS (
+  SELECT DISTINCT a.id AS a, b.id AS b FROM struck a JOIN struck b ON a.h = b.h AND a.n = b.n AND a.i = b.i AND a.id < b.id
+  UNION SELECT DISTINCT least(s.id, k.id), greatest(s.id, k.id) FROM struck s JOIN lines k ON k.line = s.joined
+), both_ways AS (SELECT a, b FROM links UNION SELECT b, a FROM links
+), reach AS (SELECT id, id AS other FROM lines UNION SELECT reach.id, both_ways.b FROM reach JOIN both_ways ON reach.other = both_ways.a
+), class AS (SELECT id, min(other) AS root FROM reach GROUP BY id
+), deg AS (SELECT a AS id, count(*) AS links FROM both_ways GROUP BY a
+), placed AS (SELECT doc_id, pos, root, coalesce(links, 0) AS links FROM occ JOIN lines USING (line) JOIN class USING (id) LEFT JOIN deg USING (id)
+), ranked AS (SELECT *, row_number() OVER w AS place, first_value(doc_id) OVER w AS first_doc FROM placed
+              WINDOW w AS (PARTITION BY root ORDER BY doc_id, pos))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE links > 0) AS n_linked, CAST(sum(links) AS BIGINT) AS n_links,
+       count(*) FILTER (WHERE place > 1) AS n_dropped,
+       array_to_string(list_sort(coalesce(list(DISTINCT first_doc) FILTER (WHERE place > 1), [])), ',') AS first_docs
+FROM ranked GROUP BY doc_id
+"""
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exactdedup.exact_dedup(table(spark, sf_dir, "documents"))
 
