@@ -1,12 +1,72 @@
-"""Training-corpus pipeline (stages follow as the operators land)."""
+"""Training-corpus pipeline: five stages over ``documents``, each one operator.
+
+Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
+as Parquet and read again as the next stage's input; all but the last return
+the columns of ``documents``. Rows that repeat a doc_id are one document to the
+stages that decide by doc_id. Extra columns pass through unread.
+"""
+
+from __future__ import annotations
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from marquee.llm import decontam, exactdedup, langid, packing, simhash
+from marquee.llm.common import fold, table, written
+from marquee.llm.queries import PACK_TOKENIZER, tokenizer_path
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps documents with a language: null and letterless texts go, and texts
+    of which no n-gram belongs to any learned language."""
+    learnt = docs.select("doc_id", "text", "lang")
+    model = langid.learn(learnt, F.coalesce(fold("doc_id", 3) != 1, F.lit(False)))
+    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
+    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)).select("row.*")
+
+
+def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``kept`` (ids only)."""
+    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the survivor of every group of equal texts."""
+    return _only(docs, exactdedup.exact_dedup(docs).where("kept"))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of every component."""
+    return _only(docs, simhash.near_dedup(docs, shingle=4, radius=4).where("doc_id <=> component_id"))
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents with a word inside an occurrence of a benchmark window."""
+    found = decontam.digest(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")))
+    return _only(docs, written(found.where("not contaminated").select("doc_id"), "clean-ids"))
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left; one row per piece."""
+    packed = packing.pack_documents(docs, tokenizer_path(PACK_TOKENIZER), end_id=2, seq_len=4096)
+    return packed.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("exact_dedup", exact_dedup),
+    ("simhash_dedup", simhash_dedup),
+    ("decontamination", decontamination),
+    ("packing", pack),
+]
 
-STAGES = []
+#: Language ID, SimHash and the tokenizer are beyond SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)
