@@ -47,30 +47,25 @@ def cmd_etl(args) -> int:
 
 
 def cmd_verify(args) -> int:
-    import os
-
     from marquee.operators import dataset_summary, file_sizes, null_profile, open_tables, table_profile, table_sample
 
-    if not os.path.isdir(args.dir):
-        print(f"folder {args.dir} does not exist; run the etl command first")
-        return 1
     spark = _session(args)
-    tables = open_tables(spark, args.dir, GOLD_TABLES, verify_rows=True)
-    for name in GOLD_TABLES:
-        if name not in tables:
-            print(f"{name}: missing or unreadable")
-    if tables:
-        table_profile(tables).show(truncate=False)
-        null_profile(tables).show(100, truncate=False)
-        for name, df in tables.items():
-            print(name)
-            table_sample(df, df.columns[:1], 3).show(truncate=False)
+    reasons: dict[str, str] = {}
+    tables = open_tables(spark, args.dir, GOLD_TABLES, verify_rows=True, reasons=reasons)
+    for name, why in reasons.items():
+        print(f"{name}: missing or unreadable: {why}")
+    if not tables:
+        print(f"no table under {args.dir}; run the etl command first")
+        return 1
+    table_profile(tables).show(truncate=False)
+    null_profile(tables).show(100, truncate=False)
+    for name, df in tables.items():
+        print(name)
+        table_sample(df, df.columns[:1], 3).show(truncate=False)
     file_sizes(spark, args.dir, args.limit_mb * 1024 * 1024).show(truncate=False)
-    summary = dataset_summary(table_profile(tables), GOLD_TABLES) if tables else None
-    if summary is not None:
-        summary.show()
-        return 0 if summary.first()["all_valid"] else 2
-    return 2
+    summary = dataset_summary(table_profile(tables), GOLD_TABLES)
+    summary.show()
+    return 0 if summary.first()["all_valid"] else 2
 
 
 def cmd_dashboard(args) -> int:

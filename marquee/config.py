@@ -10,20 +10,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 # --- fixed values of the catalogue pipeline (must match for equal results) ---
-# kept title types: movie, tvSeries, tvMovie, tvEpisode, tvMiniSeries
-# series types: tvSeries, tvMiniSeries
-# year range 1950..2024, minimum votes 1000
-# credited categories: actor, actress; maximum billing position 5
-# region code length 2
-# dashboard defaults: years 1990..2024, types movie and tvSeries, rating >= 5.0
-# minimum works 5, minimum productions 50, growth span 5 years
-# preferred genres: Drama, Comedy, Action, Thriller
-# preferred regions: US, GB, FR, ES
 CATALOGUE_TITLE_TYPES = ("movie", "tvSeries", "tvMovie", "tvEpisode", "tvMiniSeries")
 CATALOGUE_SERIES_TYPES = ("tvSeries", "tvMiniSeries")
 CATALOGUE_ACTOR_CATEGORIES = ("actor", "actress")
 CATALOGUE_PREFERRED_GENRES = ("Drama", "Comedy", "Action", "Thriller")
 CATALOGUE_PREFERRED_REGIONS = ("US", "GB", "FR", "ES")
+CELL_MEAN_DIGITS = 6
 
 
 @dataclass(frozen=True)
@@ -41,10 +33,6 @@ class EtlParams:
     # The catalogue README promises adult titles are dropped, the code never
     # does it; follow the code by default.
     exclude_adult: bool = False
-    # titles_clean has one row per tconst when its inputs do; then the crew
-    # existence join is a semi join. False reproduces the inner-join
-    # multiplicity for inputs with duplicate ids.
-    assume_unique_titles: bool = True
 
 
 @dataclass(frozen=True)
@@ -76,9 +64,10 @@ class AnalysisParams:
     decade: int | None = None
     series_title: str | None = None
     movie_type: str = "movie"
-    # Means are reported (and ranked) at this many decimals so that results are
-    # reproducible across engines and summation orders.
-    rating_digits: int = 6
+    # Means are reported at this many decimals (None: as they are); rankings use
+    # the unrounded means. The mean of rounded genre cells is always rounded, to
+    # CELL_MEAN_DIGITS: its last bits depend on the order of summation.
+    rating_digits: int | None = None
 
     @property
     def genre_filter(self) -> TitleFilter:
@@ -112,4 +101,5 @@ DRIVER_ANALYSIS = AnalysisParams(
     selected_genres=("ring", "gear", "bolt", "anvil"),
     selected_regions=("NATION_10", "NATION_12", "NATION_17", "NATION_23"),
     movie_type="3-MEDIUM",
+    rating_digits=6,
 )

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -27,6 +27,11 @@ def round_half_away(c: str | Column, digits: int) -> Column:
     return F.round(_col(c) * F.lit(scale)) / F.lit(scale)
 
 
+def reported_mean(df: DataFrame, digits: int | None, col: str = "avg_rating") -> DataFrame:
+    """``df`` with a mean rounded for the report (after any ranking by it)."""
+    return df if digits is None else df.withColumn(col, round_half_away(col, digits))
+
+
 def decade(c: str | Column) -> Column:
     """Floor decade of an integer year: 1987 -> 1980, -1985 -> -1990."""
     y = _col(c)

@@ -16,23 +16,25 @@ def title_condition(
     rating_col: str = "averageRating",
     year_col: str = "startYear",
     type_col: str = "titleType",
+    rating_type: str = "float",
 ) -> Column:
     """``year BETWEEN lo AND hi AND type IN types AND rating >= min``.
 
     Comparisons with null are false, so rows with a null year, type or rating
     drop, as in the dashboard. The predicate is a plain Catalyst expression and
-    reaches the Parquet scan as pushed filters.
+    reaches the Parquet scan as pushed filters. The floor takes the rating
+    column's own type: 7.7 as a double is above the 32-bit 7.7.
     """
     return (
         F.col(year_col).between(f.year_lo, f.year_hi)
         & isin_or_false(type_col, f.types)
-        & (F.col(rating_col) >= F.lit(float(f.min_rating)))
+        & (F.col(rating_col) >= F.lit(float(f.min_rating)).cast(rating_type))
     )
 
 
 def title_filter(df: DataFrame, f: TitleFilter, rating_col: str = "averageRating") -> DataFrame:
     """Apply the global filter to titles, genre cells, people or regions."""
-    return df.where(title_condition(f, rating_col))
+    return df.where(title_condition(f, rating_col, rating_type=df.schema[rating_col].dataType.simpleString()))
 
 
 def episode_filter(episodes: DataFrame, f: TitleFilter) -> DataFrame:
@@ -40,10 +42,8 @@ def episode_filter(episodes: DataFrame, f: TitleFilter) -> DataFrame:
 
     The content-type selection is deliberately not applied to episodes.
     """
-    return episodes.where(
-        F.col("seriesStartYear").between(f.year_lo, f.year_hi)
-        & (F.col("episodeRating") >= F.lit(float(f.min_rating)))
-    )
+    floor = F.lit(float(f.min_rating)).cast(episodes.schema["episodeRating"].dataType)
+    return episodes.where(F.col("seriesStartYear").between(f.year_lo, f.year_hi) & (F.col("episodeRating") >= floor))
 
 
 def series_filter(filtered_titles: DataFrame, series_types: Sequence[str]) -> DataFrame:

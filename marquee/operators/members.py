@@ -18,25 +18,20 @@ def default_members(df: DataFrame, col: str, preferred: Sequence[str]) -> DataFr
     """The preferred members if all of them occur, else the first n sorted.
 
     ``n = len(preferred)``. Output: ``position`` (1-based, the order a picker
-    would list them) and ``col``. Both candidate lists are bounded by n rows
-    before anything is combined, so the final window sees at most 2n rows.
+    would list them) and ``col``. One distinct, then one top-2n that holds both
+    candidate lists: the preferred members first, then the others in order. The
+    windows see these 2n rows at most.
     """
     n = len(preferred)
     members = df.select(col).where(F.col(col).isNotNull()).distinct()
+    wanted = F.col(col).isin(list(preferred))
+    top = members.withColumn("__pref", wanted).orderBy(F.col("__pref").desc(), col).limit(2 * n)
     pref_pos = F.create_map(*[x for i, p in enumerate(preferred) for x in (F.lit(p), F.lit(i + 1))])
-    present = (
-        members.where(F.col(col).isin(list(preferred)))
-        .select(pref_pos[F.col(col)].alias("position"), col, F.lit(True).alias("__pref"))
-    )
-    first_n = members.orderBy(col).limit(n)
-    first_n = first_n.select(
-        F.row_number().over(Window.orderBy(col)).alias("position"), col, F.lit(False).alias("__pref")
-    )
-    cand = present.unionByName(first_n)
-    n_pref = F.sum(F.col("__pref").cast("int")).over(Window.partitionBy())
-    use_pref = n_pref == F.lit(n)
+    hits = F.sum(F.col("__pref").cast("int")).over(Window.partitionBy())
+    place = F.row_number().over(Window.orderBy(col))
+    position = F.when(F.col("__hits") == n, F.when(F.col("__pref"), pref_pos[F.col(col)])).otherwise(F.col("__place"))
     return (
-        cand.withColumn("__all", use_pref)
-        .where(F.col("__all") == F.col("__pref"))
-        .select(F.col("position").cast("int").alias("position"), col)
+        top.withColumn("__hits", hits).withColumn("__place", place)
+        .select(position.cast("int").alias("position"), col)
+        .where(F.col("position") <= n)
     )

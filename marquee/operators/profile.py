@@ -10,6 +10,8 @@ import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -75,8 +77,16 @@ def dataset_summary(profile: DataFrame, expected: Sequence[str]) -> DataFrame:
     )
 
 
+def _unreadable(e: Exception) -> bool:
+    """A missing path or a file that is not (sound) Parquet; not a lost executor."""
+    said = str(e)
+    return isinstance(e, AnalysisException) or any(
+        x in said for x in ("FAILED_READ_FILE", "CANNOT_READ_FILE_FOOTER", "is not a Parquet file", "ParquetDecodingException"))
+
+
 def open_tables(
-    spark: SparkSession, root: str, names: Sequence[str], verify_rows: bool = False
+    spark: SparkSession, root: str, names: Sequence[str], verify_rows: bool = False,
+    reasons: dict[str, str] | None = None,
 ) -> dict[str, DataFrame]:
     """Open ``root/<name>.parquet`` for each name; skip missing or unreadable ones.
 
@@ -85,6 +95,7 @@ def open_tables(
     of every column (one distributed aggregate of ``count(col)`` per table;
     a plain ``count()`` would be answered from row-group metadata) and skips
     tables whose scan fails. The loop runs over table names, not over data.
+    ``reasons`` receives why a table was left out; any other failure is raised.
     """
     out: dict[str, DataFrame] = {}
     for name in names:
@@ -93,8 +104,11 @@ def open_tables(
             if verify_rows:
                 df.agg(*[F.count(_q(c)) for c in df.columns]).collect()
             out[name] = df
-        except Exception:  # missing path, not Parquet, unreadable footer or page
-            continue
+        except (PySparkException, Py4JJavaError) as e:
+            if not _unreadable(e):
+                raise
+            if reasons is not None:
+                reasons[name] = str(e).strip().splitlines()[0]
     return out
 
 
@@ -113,10 +127,9 @@ def file_sizes(spark: SparkSession, root: str, limit_bytes: int = 100 * 1024 * 1
     )
     # listed paths are URIs (file:/..., s3a://...) that contain the root as given
     anchor = root.split(":", 1)[1] if root.startswith("file:") else root
-    rel = F.regexp_extract(F.col("path"), re.escape(anchor) + r"/([^/]+)", 1)
-    per = files.where(~F.col("path").contains("/_")).groupBy(rel.alias("dataset")).agg(
-        F.sum("length").alias("bytes")
-    )
+    rel = F.regexp_extract(F.col("path"), re.escape(anchor) + r"/(.+)", 1)
+    per = (files.withColumn("rel", rel).where(~F.col("rel").rlike(r"(^|/)[_.]"))
+           .groupBy(F.substring_index("rel", "/", 1).alias("dataset")).agg(F.sum("length").alias("bytes")))
     total = per.agg(F.lit("__total__").alias("dataset"), F.sum("bytes").alias("bytes"))
     both = per.unionByName(total)
     return both.withColumn(

@@ -121,7 +121,7 @@ def analyses(a: AnalysisParams, views: Views | None = None) -> dict[str, Callabl
         "movies_by_year": lambda g: trends.movies_by_year(g["titles_clean"], a.movie_type),
         # genres
         "top_genres": lambda g: genres.top_genres(v(g).genre_cells, 10),
-        "top_rated_genres": lambda g: genres.top_rated_genres(v(g).genre_cells, 10, d),
+        "top_rated_genres": lambda g: genres.top_rated_genres(v(g).genre_cells, 10),
         "genre_timeline": lambda g: genres.genre_timeline(
             v(g).genre_cells,
             a.selected_genres if a.selected_genres is not None

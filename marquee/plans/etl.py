@@ -7,15 +7,16 @@ registered queries, which recompute from the raw inputs every time).
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marquee.config import EtlParams
 from marquee.functions import round_half_away, split_list
-from marquee.sinks import write_table
+from marquee.sinks import publish, write_table
 from marquee.sources.raw import RawSources
 
 TITLE_COLUMNS = [
@@ -85,18 +86,10 @@ def genres_by_year(exploded: DataFrame) -> DataFrame:
 
 # --- directors ------------------------------------------------------------
 
-def crew_of_kept_titles(crew: DataFrame, titles: DataFrame, p: EtlParams) -> DataFrame:
-    """Crew rows with a director list, restricted to kept titles.
-
-    An existence test before the explode. With unique title ids this is a
-    semi join (no title columns are shuffled along); otherwise an inner join
-    keeps one crew row per matching title row.
-    """
+def crew_of_kept_titles(crew: DataFrame, titles: DataFrame) -> DataFrame:
+    """Crew rows with a director list, one for each kept title row they match."""
     crew = crew.select("tconst", "directors").where(_non_blank("directors"))
-    keys = titles.select("tconst")
-    if p.assume_unique_titles:
-        return crew.join(keys, "tconst", "left_semi")
-    return crew.join(keys, "tconst", "inner").select("tconst", "directors")
+    return crew.join(titles.select("tconst"), "tconst", "inner").select("tconst", "directors")
 
 
 def directors_exploded(crew_kept: DataFrame) -> DataFrame:
@@ -116,51 +109,30 @@ DIRECTOR_COLUMNS = ["tconst", "nconst", "directorName", "primaryTitle", "startYe
                     "titleType", "averageRating", "numVotes"]
 
 
-def directors(exploded: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
-    """Director credits with the director's name and the title's attributes.
-
-    Stage-by-stage form: exploded credits -> people -> titles. It shuffles the
-    credits on ``tconst`` twice (existence test, then attributes); the ETL
-    uses ``directors_from_crew`` instead when title ids are unique.
-    """
-    names = people.select("nconst", F.col("primaryName").alias("directorName"))
-    t = titles.select("tconst", "primaryTitle", "startYear", "titleType", "averageRating", "numVotes")
-    return exploded.join(names, "nconst", "inner").join(t, "tconst", "inner").select(*DIRECTOR_COLUMNS)
-
-
-def directors_from_crew(crew: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
+def directors(crew: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
     """Director credits in two shuffles: crew x titles on ``tconst``, then people.
 
     Joining the crew rows to the titles before the explode does the existence
     test and fetches the title attributes in one pass; the exploded rows are
-    then shuffled once, on ``nconst``. Same rows as ``directors`` when
-    ``tconst`` is unique among titles.
+    then shuffled once, on ``nconst``. Where a title id occurs k times, a credit
+    passes the existence test k times and meets k title rows, so each part is
+    repeated k times per title row; k is counted on the partitioning that the
+    join needs anyway.
     """
-    t = titles.select("tconst", "primaryTitle", "startYear", "titleType", "averageRating", "numVotes")
+    copies = F.count(F.lit(1)).over(Window.partitionBy("tconst"))
+    t = titles.select("tconst", "primaryTitle", "startYear", "titleType", "averageRating", "numVotes",
+                      copies.cast("int").alias("copies"))
+    parts = F.flatten(F.array_repeat(split_list("directors"), F.col("copies")))
     credited = (
         crew.select("tconst", "directors").where(_non_blank("directors"))
         .join(t, "tconst", "inner")
-        .withColumn("nconst", F.explode(split_list("directors")))
-        .drop("directors")
+        .withColumn("nconst", F.explode(parts))
+        .drop("directors", "copies")
     )
     names = people.select("nconst", F.col("primaryName").alias("directorName"))
     return credited.join(names, "nconst", "inner").select(*DIRECTOR_COLUMNS)
 
 
-def directors_from_pairs(pairs: DataFrame, people: DataFrame, titles: DataFrame) -> DataFrame:
-    """Director credits from (tconst, nconst) rows: titles on ``tconst``, then people.
-
-    Same rows as ``directors_from_crew`` when the pairs are the distinct parts
-    of the crew lists. A title or a person holding a large share of the
-    credits is a hot key of a plain shuffle join, which AQE splits.
-    """
-    t = titles.select("tconst", "primaryTitle", "startYear", "titleType", "averageRating", "numVotes")
-    names = people.select("nconst", F.col("primaryName").alias("directorName"))
-    return pairs.select("tconst", "nconst").join(t, "tconst", "inner").join(names, "nconst", "inner").select(
-        *DIRECTOR_COLUMNS
-    )
-
-
 # --- actors ---------------------------------------------------------------
 
 def principals_top_billed(principals: DataFrame, p: EtlParams) -> DataFrame:
@@ -286,22 +258,7 @@ def build_stages(raw: RawSources, p: EtlParams, titles: DataFrame | None = None)
     tc = titles_clean(base, rat)
     t = tc if titles is None else titles
     gx = genres_exploded(t)
-    crew = crew_of_kept_titles(raw.crew, t, p)
-    if raw.crew_pairs is not None:
-        pairs = raw.crew_pairs.select("tconst", "nconst")
-        if p.assume_unique_titles:
-            dx = pairs.join(t.select("tconst"), "tconst", "left_semi")
-            dirs = directors_from_pairs(pairs, people_base(raw.people), t)
-        else:  # duplicate title ids multiply at both title joins, as inner joins do
-            dx = pairs.join(t.select("tconst"), "tconst", "inner")
-            dirs = directors(dx, people_base(raw.people), t)
-    else:
-        dx = directors_exploded(crew)
-        dirs = (
-            directors_from_crew(raw.crew, people_base(raw.people), t)
-            if p.assume_unique_titles
-            else directors(dx, people_base(raw.people), t)
-        )
+    crew = crew_of_kept_titles(raw.crew, t)
     pr = principals_top_billed(raw.principals, p)
     cb = countries_base(raw.akas, p)
     return EtlStages(
@@ -311,8 +268,8 @@ def build_stages(raw: RawSources, p: EtlParams, titles: DataFrame | None = None)
         genres_exploded=gx,
         genres_by_year=genres_by_year(gx),
         crew_of_kept_titles=crew,
-        directors_exploded=dx,
-        directors=dirs,
+        directors_exploded=directors_exploded(crew),
+        directors=directors(raw.crew, people_base(raw.people), t),
         principals_top_billed=pr,
         actors=actors(pr, people_base(raw.people_for_actors), t),
         countries_base=cb,
@@ -342,12 +299,13 @@ def etl_row_counts(stages: EtlStages) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+#: Range order of the written tables; the id splits a dominant type and year.
 GOLD_CLUSTERING = {
-    "titles_clean": ["titleType", "startYear"],
-    "directors": ["titleType", "startYear"],
-    "actors": ["titleType", "startYear"],
-    "countries": ["titleType", "startYear"],
-    "episodes": ["seriesStartYear"],
+    "titles_clean": ["titleType", "startYear", "tconst"],
+    "directors": ["titleType", "startYear", "tconst"],
+    "actors": ["titleType", "startYear", "tconst"],
+    "countries": ["titleType", "startYear", "tconst"],
+    "episodes": ["seriesStartYear", "seriesId"],
 }
 
 
@@ -364,46 +322,34 @@ def run_etl(
 ) -> dict[str, str]:
     """Write the six gold tables under ``out_dir``; return their paths.
 
-    ``titles_clean`` is written first and read back: the five other tables
-    depend on it, so they start from the written table in the shared output
-    folder rather than recomputing (or caching) the title joins. That is also
-    the lineage cut that makes a lost executor cheap to recover from.
-
-    The five dependent writes are independent Spark jobs; they are submitted
-    from ``concurrent_writes`` driver threads so their stages share the
-    executors instead of running one after another.
+    All six are written into a folder of this run below ``out_dir`` and
+    published together at the end, so a failed run leaves the last six as they
+    were. ``titles_clean`` is written first and read back: the five other tables
+    start from it rather than recomputing the title joins, and a lost executor
+    is cheap to recover from. The five dependent writes are independent jobs,
+    submitted from ``concurrent_writes`` driver threads.
 
     ``partition_by_type`` lays the title-keyed tables out in ``titleType=``
-    folders (rows clustered by year inside), so a type filter skips whole
-    folders without opening their files. ``sources.read_gold`` restores the
-    column order, which Spark changes for partition columns.
+    folders. ``sources.read_gold`` restores the column order, which Spark
+    changes for partition columns.
     """
     from concurrent.futures import ThreadPoolExecutor
 
     root = out_dir.rstrip("/")
-    paths = {name: f"{root}/{name}.parquet" for name in
-             ("titles_clean", "genres_by_year", "directors", "actors", "countries", "episodes")}
-    def layout(name: str) -> dict:
-        if partition_by_type and name in TYPE_PARTITIONED:
-            return {"partition_by": ["titleType"], "cluster_by": ["titleType", "startYear"]}
-        return {"cluster_by": GOLD_CLUSTERING.get(name)}
-
-    first = build_stages(raw, p)
-    write_table(first.titles_clean, paths["titles_clean"], **layout("titles_clean"))
-    titles = spark.read.parquet(paths["titles_clean"]).select(*TITLE_COLUMNS)
-    st = build_stages(raw, p, titles=titles)
-    jobs = [
-        lambda: write_table(st.genres_by_year, paths["genres_by_year"], sort_by=["startYear", "genre", "titleType"]),
-        lambda: write_table(st.directors, paths["directors"], **layout("directors")),
-        lambda: write_table(st.actors, paths["actors"], **layout("actors")),
-        lambda: write_table(st.countries, paths["countries"], **layout("countries")),
-        lambda: write_table(st.episodes, paths["episodes"], **layout("episodes")),
-    ]
-    if concurrent_writes <= 1:
-        for job in jobs:
-            job()
-    else:
-        with ThreadPoolExecutor(max_workers=concurrent_writes) as pool:
-            for fut in [pool.submit(job) for job in jobs]:
-                fut.result()  # re-raise the first failure
-    return paths
+    run = f"{root}/_run-{uuid.uuid4().hex}"
+    names = ("titles_clean", "genres_by_year", "directors", "actors", "countries", "episodes")
+
+    def write(name: str, df: DataFrame) -> None:
+        by_type = partition_by_type and name in TYPE_PARTITIONED
+        write_table(df, f"{run}/{name}.parquet", cluster_by=GOLD_CLUSTERING.get(name),
+                    sort_by=["startYear", "genre", "titleType"] if name == "genres_by_year" else None,
+                    partition_by=["titleType"] if by_type else None)
+
+    write("titles_clean", build_stages(raw, p).titles_clean)
+    titles = spark.read.parquet(f"{run}/titles_clean.parquet").select(*TITLE_COLUMNS)
+    gold = build_stages(raw, p, titles=titles).gold()
+    with ThreadPoolExecutor(max_workers=max(1, concurrent_writes)) as pool:
+        for fut in [pool.submit(write, name, gold[name]) for name in names[1:]]:
+            fut.result()  # re-raise the first failure
+    publish(spark, run, root, [f"{name}.parquet" for name in names])
+    return {name: f"{root}/{name}.parquet" for name in names}

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from marquee.config import CELL_MEAN_DIGITS
 from marquee.functions import round_half_away
 from marquee.operators import default_members, distinct_members, member_filter, non_null_keys, top_k
 
@@ -17,7 +18,7 @@ def top_genres(cells: DataFrame, k: int = 10) -> DataFrame:
     return top_k(per, [F.col("count").desc(), F.col("genre").asc()], k)
 
 
-def top_rated_genres(cells: DataFrame, k: int = 10, digits: int | None = 6) -> DataFrame:
+def top_rated_genres(cells: DataFrame, k: int = 10, digits: int = CELL_MEAN_DIGITS) -> DataFrame:
     """Genres by the unweighted mean of their cells' (already rounded) means.
 
     The rating floor of the filter applied to the cells, not to titles, and
@@ -26,7 +27,7 @@ def top_rated_genres(cells: DataFrame, k: int = 10, digits: int | None = 6) -> D
     """
     mean = F.avg("avg_rating")
     per = non_null_keys(cells, ["genre"]).groupBy("genre").agg(
-        (mean if digits is None else round_half_away(mean, digits)).alias("avg_rating"),
+        round_half_away(mean, digits).alias("avg_rating"),
         F.sum("count").cast("bigint").alias("count"),
     )
     return top_k(per, [F.col("avg_rating").desc(), F.col("genre").asc()], k)
@@ -36,11 +37,11 @@ def genre_timeline(cells: DataFrame, selected: Sequence[str] | DataFrame) -> Dat
     """Titles per (year, genre) for the selected genres: ``startYear, genre, count``.
 
     ``selected`` is a list of genres, or a DataFrame with a ``genre`` column
-    such as ``default_genres`` (the picker's default, at most n rows: a
-    bounded broadcast).
+    such as ``default_genres`` (the picker's default; Spark's size check picks
+    the join).
     """
     if isinstance(selected, DataFrame):
-        chosen = cells.join(F.broadcast(selected.select("genre")), "genre", "left_semi")
+        chosen = cells.join(selected.select("genre"), "genre", "left_semi")
     else:
         chosen = member_filter(cells, "genre", selected)
     sel = non_null_keys(chosen, ["startYear", "genre"])

@@ -7,10 +7,10 @@ so a person credited twice on one title counts twice. ``name_col`` is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marquee.functions import decade, round_half_away
+from marquee.functions import decade, reported_mean
 from marquee.operators import non_null_keys, top_k, top_k_per_group
 
 
@@ -20,24 +20,21 @@ def top_people_by_works(people: DataFrame, name_col: str, k: int = 15) -> DataFr
     return top_k(per, [F.col("num_works").desc(), F.col(name_col).asc()], k)
 
 
-def people_ratings(people: DataFrame, name_col: str, digits: int | None = 6) -> DataFrame:
-    mean = F.avg("averageRating")
+def people_ratings(people: DataFrame, name_col: str) -> DataFrame:
     return non_null_keys(people, [name_col]).groupBy(name_col).agg(
-        (mean if digits is None else round_half_away(mean, digits)).alias("avg_rating"),
-        F.count("tconst").alias("num_works"),
-    )
+        F.avg("averageRating").alias("avg_rating"), F.count("tconst").alias("num_works"))
 
 
 def top_people_by_rating(
-    people: DataFrame, name_col: str, min_works: int = 5, k: int = 15, digits: int | None = 6
+    people: DataFrame, name_col: str, min_works: int = 5, k: int = 15, digits: int | None = None
 ) -> DataFrame:
     """Best mean rating among names with at least ``min_works`` credits.
 
-    ``<name_col>, avg_rating, num_works``; ranked by the reported mean, name
+    ``<name_col>, avg_rating, num_works``; ranked by the unrounded mean, name
     asc on ties.
     """
-    per = people_ratings(people, name_col, digits).where(F.col("num_works") >= F.lit(min_works))
-    return top_k(per, [F.col("avg_rating").desc(), F.col(name_col).asc()], k)
+    per = people_ratings(people, name_col).where(F.col("num_works") >= F.lit(min_works))
+    return reported_mean(top_k(per, [F.col("avg_rating").desc(), F.col(name_col).asc()], k), digits)
 
 
 def people_by_decade(people: DataFrame, name_col: str) -> DataFrame:
@@ -59,14 +56,17 @@ def top_people_per_decade(people: DataFrame, name_col: str, n: int = 3) -> DataF
 def top_people_in_decade(people: DataFrame, name_col: str, n: int = 3, decade_value: int | None = None) -> DataFrame:
     """One decade of ``top_people_per_decade``; by default the latest decade.
 
-    The per-decade table has at most n rows per decade, and decades are
-    bounded by the year filter, so the default's max over it is a tiny window.
+    The decade is fixed before anything is aggregated: the default is a one-row
+    max over the credits with a name.
     """
-    tops = top_people_per_decade(people, name_col, n)
-    if decade_value is not None:
-        return tops.where(F.col("decade") == F.lit(decade_value))
-    latest = F.max("decade").over(Window.partitionBy())
-    return tops.withColumn("__latest", latest).where(F.col("decade") == F.col("__latest")).drop("__latest")
+    credits = non_null_keys(people.withColumn("decade", decade("startYear")), ["decade", name_col])
+    if decade_value is None:
+        latest = credits.agg(F.max("decade").alias("decade"))
+        chosen = credits.join(F.broadcast(latest), "decade", "left_semi")  # one row
+    else:
+        chosen = credits.where(F.col("decade") == F.lit(decade_value))
+    per = chosen.groupBy("decade", name_col).agg(F.count(F.lit(1)).alias("count"))
+    return top_k_per_group(per, ["decade"], [F.col("count").desc(), F.col(name_col).asc()], n)
 
 
 def distinct_decades(people: DataFrame, name_col: str, n: int = 3) -> DataFrame:

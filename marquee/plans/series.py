@@ -13,7 +13,7 @@ def _mean(c: Column, digits: int | None) -> Column:
     return c if digits is None else round_half_away(c, digits)
 
 
-def series_kpis(series: DataFrame, episodes: DataFrame, digits: int | None = 6) -> DataFrame:
+def series_kpis(series: DataFrame, episodes: DataFrame, digits: int | None = None) -> DataFrame:
     """One row: ``num_series, num_episodes, avg_episodes_per_series``.
 
     The mean is over series that have filtered episodes (a mean of group
@@ -44,7 +44,7 @@ def top_series(series: DataFrame, k: int = 20) -> DataFrame:
     return best.select("primaryTitle", "startYear", "averageRating", "numVotes")
 
 
-def season_analysis(episodes: DataFrame, series: DataFrame, digits: int | None = 6) -> DataFrame:
+def season_analysis(episodes: DataFrame, series: DataFrame, digits: int | None = None) -> DataFrame:
     """Per series with filtered episodes that is itself a filtered series.
 
     ``seriesId, num_seasons, num_episodes, avg_rating, tconst, primaryTitle``:
@@ -83,7 +83,7 @@ def series_picklist(analysis: DataFrame, k: int = 100) -> DataFrame:
 
 
 def season_ratings(
-    episodes: DataFrame, analysis: DataFrame, series_title: str | None = None, digits: int | None = 6
+    episodes: DataFrame, analysis: DataFrame, series_title: str | None = None, digits: int | None = None
 ) -> DataFrame:
     """Mean episode rating per season of one series: ``seasonNumber, episodeRating``.
 

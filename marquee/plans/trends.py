@@ -35,7 +35,7 @@ def _mean_of(s: str, n: str) -> Column:
     return F.sum(s) / F.nullif(F.sum(n), F.lit(0))
 
 
-def kpi_summary(titles: DataFrame | None, digits: int | None = 6, rollup: DataFrame | None = None) -> DataFrame:
+def kpi_summary(titles: DataFrame | None, digits: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """One row: ``total_titles, avg_rating, total_votes, total_votes_millions, top_year``.
 
     From the year/type rollup: per year (tiny), then one global row.
@@ -108,7 +108,7 @@ def production_growth(
     )
 
 
-def rating_by_year(titles: DataFrame | None, digits: int | None = 6, rollup: DataFrame | None = None) -> DataFrame:
+def rating_by_year(titles: DataFrame | None, digits: int | None = None, rollup: DataFrame | None = None) -> DataFrame:
     """Per year: mean rating and number of titles: ``startYear, avg_rating, count``."""
     r = rollup if rollup is not None else year_type_rollup(titles)
     return non_null_keys(r, ["startYear"]).groupBy("startYear").agg(

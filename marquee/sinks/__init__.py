@@ -1,3 +1,3 @@
 """Sinks: ZSTD Parquet writers for the gold tables."""
 
-from marquee.sinks.parquet import write_table  # noqa: F401
+from marquee.sinks.parquet import publish, write_table  # noqa: F401

@@ -14,11 +14,6 @@ class RawSources:
     ``actor_people`` is the person table used to name credited actors; it is
     the same table as ``people`` for the public catalogue and differs only in
     the driver-table mapping, whose two person tables have overlapping ids.
-
-    ``crew_pairs`` optionally gives the director credits already as one row
-    per distinct (``tconst``, ``nconst``); the ETL then joins those rows
-    directly instead of splitting ``crew.directors``. Sources that are not
-    comma lists to begin with use it, so no list has to be assembled per title.
     """
 
     basics: DataFrame
@@ -29,7 +24,6 @@ class RawSources:
     akas: DataFrame
     episode: DataFrame
     actor_people: DataFrame | None = None
-    crew_pairs: DataFrame | None = None
 
     @property
     def people_for_actors(self) -> DataFrame:

@@ -2,14 +2,14 @@
 
 The driver ships ``orders lineitem part supplier nation`` (plus tables with no
 catalogue counterpart). This module derives the seven raw catalogue inputs
-from them with DataFrame operations only, so every query built on top reads
+from them with DataFrame operations only (numbers as strings, as in raw files), so every query built on top reads
 the driver tables and its work grows with them:
 
 * basics     one row per order; type = order priority; year = order year;
              genres = name of the order's smallest part key, space -> comma
 * ratings    per order: mean discount in percent points, votes = sum(quantity)
-* crew       per order: the distinct supplier keys, as (order, supplier) rows
-             for the ETL and comma-joined for the raw-format crew stage
+* crew       per order and block of 64 supplier keys: the distinct keys,
+             comma-joined
 * people     suppliers (directors) and parts (actors, homonyms by design)
 * principals line items: part as person, return flag as category,
              line number as billing position
@@ -63,7 +63,7 @@ def driver_sources(spark: SparkSession, sf_dir: str) -> RawSources:
             title.alias("primaryTitle"),
             title.alias("originalTitle"),
             F.lit("0").alias("isAdult"),
-            F.year("o_orderdate").cast("int").alias("startYear"),
+            F.year("o_orderdate").cast("string").alias("startYear"),
             _no_value("int").alias("endYear"),
             _no_value("int").alias("runtimeMinutes"),
             "genres",
@@ -76,18 +76,11 @@ def driver_sources(spark: SparkSession, sf_dir: str) -> RawSources:
             / F.count(F.lit(1))
         ).cast("float").alias("averageRating"),
         F.sum("l_quantity").cast("int").alias("numVotes"),
-    ).select(_id("l_orderkey").alias("tconst"), "averageRating", "numVotes")
-
-    # Director credits as distinct (order, supplier) rows: partial
-    # de-duplication before the shuffle, no per-order list. The ETL joins
-    # these rows directly.
-    crew_pairs = (
-        lineitem.select("l_orderkey", "l_suppkey").distinct()  # on the integer keys
-        .select(_id("l_orderkey").alias("tconst"), _id("l_suppkey").alias("nconst"))
-    )
-    # The raw file's comma-list form of the same credits, for the stage that
-    # returns crew rows as such (``crew_of_kept_titles``).
-    crew = lineitem.groupBy("l_orderkey").agg(
+    ).select(_id("l_orderkey").alias("tconst"), _id("averageRating").alias("averageRating"), _id("numVotes").alias("numVotes"))
+
+    # Director credits as comma lists, one crew row per (order, block of 64
+    # supplier keys): a list has 64 ids at most, whatever the order's size.
+    crew = lineitem.groupBy("l_orderkey", F.expr("l_suppkey div 64").alias("block")).agg(
         F.array_join(F.array_sort(F.collect_set(_id("l_suppkey"))), ",").alias("directors")
     ).select(_id("l_orderkey").alias("tconst"), "directors")
 
@@ -102,7 +95,7 @@ def driver_sources(spark: SparkSession, sf_dir: str) -> RawSources:
 
     principals = lineitem.select(
         _id("l_orderkey").alias("tconst"),
-        F.col("l_linenumber").alias("ordering"),
+        F.col("l_linenumber").cast("string").alias("ordering"),
         _id("l_partkey").alias("nconst"),
         F.col("l_returnflag").alias("category"),
     )
@@ -117,8 +110,8 @@ def driver_sources(spark: SparkSession, sf_dir: str) -> RawSources:
     episode = orders.select(
         _id("o_orderkey").alias("tconst"),
         _id("o_custkey").alias("parentTconst"),
-        F.quarter("o_orderdate").cast("int").alias("seasonNumber"),
-        F.month("o_orderdate").cast("int").alias("episodeNumber"),
+        F.quarter("o_orderdate").cast("string").alias("seasonNumber"),
+        F.month("o_orderdate").cast("string").alias("episodeNumber"),
     )
 
     return RawSources(
@@ -130,5 +123,4 @@ def driver_sources(spark: SparkSession, sf_dir: str) -> RawSources:
         akas=akas,
         episode=episode,
         actor_people=people_of(part, "p_partkey", "p_name"),
-        crew_pairs=crew_pairs,
     )

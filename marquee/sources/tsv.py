@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,34 +18,39 @@ def read_raw(
     name: str,
     partitions: int | None = None,
 ) -> DataFrame:
-    """Read one raw catalogue file with every column as a string.
+    """Read one raw catalogue file, or a folder of them, every column a string.
 
-    * ``quote`` is disabled: titles contain literal double quotes, and with
-      CSV quoting an unbalanced quote would swallow the following fields.
-    * ``\\N`` is the null marker; casts happen later in the ETL, so a bad
+    * Every file is read by its own header, so files of one folder may order
+      their columns differently; a missing column raises, naming file and
+      column, and so does a row with more or fewer fields than its header.
+    * Fields are cut at tabs only: quotes are literal. ``\\N`` is null, and an
+      empty field stays an empty string. Casts happen later in the ETL, so a bad
       number fails the job instead of silently becoming null.
-    * Only the columns the ETL needs are selected; the CSV parser prunes the
-      rest.
     * A ``.gz`` file is not splittable and arrives as one partition; pass
       ``partitions`` to spread it before the first wide operation, or land the
       files once as Parquet (``land_raw_as_parquet``) and read that instead.
     """
-    df = (
-        spark.read.option("sep", "\t")
-        .option("header", "true")
-        .option("nullValue", "\\N")
-        .option("quote", "")
-        .option("mode", "FAILFAST")
-        .csv(path)
-    )
-    wanted = [c for c in RAW_COLUMNS[name] if c in df.columns]
-    df = df.select(*wanted)
-    missing = [c for c in RAW_COLUMNS[name] if c not in df.columns]
-    for c in missing:  # tolerated: absent optional columns become null strings
-        df = df.withColumn(c, F.lit(None).cast("string"))
-    if partitions:
-        df = df.repartition(partitions)
-    return df
+    files = sorted(spark.read.text(path).inputFiles())
+    if not files:
+        raise FileNotFoundError(f"no raw files under {path}")
+    df = reduce(DataFrame.unionByName, [_read_file(spark, f, name) for f in files])
+    return df.repartition(partitions) if partitions else df
+
+
+def _read_file(spark: SparkSession, path: str, name: str) -> DataFrame:
+    lines = spark.read.text(path)
+    head = lines.first()
+    if head is None:
+        raise ValueError(f"{path}: no header")
+    header = head["value"].split("\t")
+    missing = [c for c in RAW_COLUMNS[name] if c not in header]
+    if missing:
+        raise ValueError(f"{path}: missing column {', '.join(missing)}")
+    fields = F.split("value", "\t", -1)
+    checked = F.when(F.size(fields) == len(header), fields).otherwise(
+        F.raise_error(F.concat(F.lit(f"{path}: not {len(header)} fields: "), F.col("value"))))
+    rows = lines.where(F.col("value") != head["value"]).select(checked.alias("f"))
+    return rows.select(*[F.nullif(F.col("f")[header.index(c)], F.lit("\\N")).alias(c) for c in RAW_COLUMNS[name]])
 
 
 def read_raw_dir(spark: SparkSession, raw_dir: str, partitions: int | None = None) -> dict[str, DataFrame]:

@@ -121,18 +121,13 @@ def test_directors_explode_join_and_homonyms(st):
     assert got == [("t2", "p1", "Ann"), ("t3", "p1", "Ann"), ("t3", "p2", "Bob"), ("t3", "p3", "Ann")]
 
 
-def test_directors_stagewise_equals_fused(raw, st):
-    stagewise = etl.directors(st.directors_exploded, etl.people_base(raw.people), st.titles_clean)
-    assert rows(stagewise) == rows(st.directors)
-
-
 def test_duplicate_title_ids_multiply_like_inner_joins(spark, raw):
     dup = RawSources(**{**raw.__dict__, "ratings": raw.ratings.unionByName(
         raw.ratings.where("tconst = 't2'"))})
-    p = EtlParams(assume_unique_titles=False)
-    d = etl.build_stages(dup, p).directors.where("tconst = 't2'")
-    # crew x titles (2 rows) -> explode -> people -> titles (2 rows): 4 copies
-    assert d.count() == 4
+    st = etl.build_stages(dup, P)
+    # crew x titles (2 rows) -> explode (2 parts) -> people -> titles (2 rows): 4 copies
+    assert st.directors_exploded.where("tconst = 't2'").count() == 2
+    assert st.directors.where("tconst = 't2'").count() == 4
 
 
 def test_actor_credits_filter_is_position_not_rank(st):
@@ -163,11 +158,18 @@ def test_bad_number_fails_the_job(spark):
         etl.titles_base(bad, P).collect()
 
 
-def test_duplicate_title_ids_with_credit_pairs(spark, raw):
-    pairs = spark.createDataFrame([("t2", "p1"), ("t3", "p1"), ("t3", "p2"), ("t3", "p3")], "tconst string, nconst string")
-    dup = RawSources(**{**raw.__dict__, "crew_pairs": pairs,
-                        "ratings": raw.ratings.unionByName(raw.ratings.where("tconst = 't2'"))})
-    d = etl.build_stages(dup, EtlParams(assume_unique_titles=False)).directors.where("tconst = 't2'")
-    assert d.count() == 4
-    single = etl.build_stages(RawSources(**{**raw.__dict__, "crew_pairs": pairs}), P)
-    assert rows(single.directors) == rows(etl.build_stages(raw, P).directors)
+def test_rating_floor_in_the_columns_type(spark):
+    from marquee.config import TitleFilter
+    from marquee.operators.filters import title_filter
+
+    df = spark.sql("SELECT cast(7.7 AS float) AS averageRating, 2000 AS startYear, 'movie' AS titleType")
+    assert title_filter(df, TitleFilter(min_rating=7.7)).count() == 1
+
+
+def test_ranking_by_the_unrounded_mean(spark):
+    from marquee.plans.geography import top_rated_countries
+    from marquee.plans.people import top_people_by_rating
+
+    df = spark.createDataFrame([("a", "a", 7.0, "t"), ("b", "b", 7.0000004, "t")], "name string, region string, averageRating double, tconst string")
+    assert [r[0] for r in top_people_by_rating(df, "name", 1, 2, 6).collect()] == ["b", "a"]
+    assert [r[0] for r in top_rated_countries(df, 1, 2, 6).collect()] == ["b", "a"]

@@ -1,4 +1,4 @@
-"""gz TSV -> ETL -> ZSTD Parquet -> read -> profile, plus incremental landing."""
+"""gz TSV -> ETL -> ZSTD Parquet -> read -> profile."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ import gzip
 import os
 
 import pytest
+from pyspark.sql import functions as F
 
 from conftest import rows
 from marquee.config import EtlParams
@@ -13,7 +14,6 @@ from marquee.operators import dataset_summary, file_sizes, null_profile, open_ta
 from marquee.plans import etl
 from marquee.schemas import GOLD_SCHEMAS, GOLD_TABLES
 from marquee.sources import RawSources, land_raw_as_parquet, read_gold, read_landed, read_raw_dir
-from marquee.streaming import land_stream
 
 # Raw files carry more columns than the ETL reads; they must be tolerated.
 FILES = {
@@ -121,22 +121,6 @@ def test_landed_parquet_gives_same_gold(spark, raw_dir, tmp_out):
         assert rows(a[name]) == rows(b[name]), name
 
 
-def test_stream_landing_is_incremental(spark, raw_dir, tmp_out):
-    import shutil
-
-    drop = f"{tmp_out}/drop"
-    os.makedirs(drop)
-    src = os.path.join(raw_dir, "title.ratings.tsv.gz")
-    shutil.copy(src, f"{drop}/part1.tsv.gz")
-    args = ("title.ratings", drop, src, f"{tmp_out}/landed_ratings", f"{tmp_out}/ckpt_ratings")
-    land_stream(spark, *args).awaitTermination()
-    assert spark.read.parquet(f"{tmp_out}/landed_ratings").count() == 5
-    _write_gz(f"{drop}/part2.tsv.gz", ["tconst", "averageRating", "numVotes"], [["tt9", "5.0", "3000"]])
-    land_stream(spark, *args).awaitTermination()  # only the new file is read
-    landed = spark.read.parquet(f"{tmp_out}/landed_ratings")
-    assert landed.count() == 6 and landed.columns == ["tconst", "averageRating", "numVotes"]
-
-
 def test_cli_etl_then_verify(spark, raw_dir, tmp_out, capsys):
     from marquee.cli import main
 
@@ -162,7 +146,7 @@ def test_dashboard_with_catalogue_defaults(spark, raw_dir, tmp_out):
     assert [r["primaryTitle"] for r in got["top_series"]] == ["Show"]
     # the only episode is rated 8.8 and its series started in 2002
     assert got["series_kpis"][0]["num_episodes"] == 1
-    assert [(r["seasonNumber"], r["episodeRating"]) for r in got["season_ratings"]] == [(1, 8.8)]
+    assert [(r["seasonNumber"], round(r["episodeRating"], 6)) for r in got["season_ratings"]] == [(1, 8.8)]
     # fewer than four genres present: the first ones in sorted order
     assert [r["genre"] for r in sorted(got["default_genres"], key=lambda r: r["position"])] == ["Comedy", "Drama"]
 
@@ -240,21 +224,6 @@ def test_cli_dashboard(spark, raw_dir, tmp_out, capsys):
     assert main(["dashboard", "--dir", out, "--only", "no_such_table"]) == 2
 
 
-def test_land_all_streams(spark, raw_dir, tmp_out):
-    import shutil
-
-    from marquee.streaming import land_streams
-
-    drop = f"{tmp_out}/drops"
-    for name in ("title.basics", "title.ratings", "title.crew"):
-        os.makedirs(f"{drop}/{name}")
-        shutil.copy(os.path.join(raw_dir, f"{name}.tsv.gz"), f"{drop}/{name}/part1.tsv.gz")
-    got = land_streams(spark, drop, f"{tmp_out}/landed_all", f"{tmp_out}/ckpt_all")
-    assert got == {"title.basics": 5, "title.ratings": 5, "title.crew": 3}
-    again = land_streams(spark, drop, f"{tmp_out}/landed_all", f"{tmp_out}/ckpt_all")
-    assert again == got  # nothing new: the checkpoints remember the landed files
-
-
 def test_uncompressed_raw_files(spark, raw_dir, tmp_out):
     import shutil
 
@@ -270,3 +239,82 @@ def test_uncompressed_raw_files(spark, raw_dir, tmp_out):
     a = etl.build_gold(RawSources.from_raw_dict(read_raw_dir(spark, plain)), P)
     b = etl.build_gold(RawSources.from_raw_dict(read_raw_dir(spark, raw_dir)), P)
     assert rows(a["titles_clean"]) == rows(b["titles_clean"])
+
+
+def _tsv(folder, name, lines):
+    os.makedirs(folder, exist_ok=True)
+    with open(os.path.join(folder, name), "w") as f:
+        f.write("\n".join(lines) + "\n")
+
+
+def test_reader_by_header_and_strict(spark, tmp_out):
+    from marquee.sources.tsv import read_raw
+
+    both = f"{tmp_out}/ratings"
+    _tsv(both, "a.tsv", ["tconst\taverageRating\tnumVotes", "t1\t7.0\t2000"])
+    _tsv(both, "b.tsv", ["numVotes\textra\ttconst\taverageRating", "30\tx\tt2\t\\N"])
+    assert rows(read_raw(spark, both, "title.ratings")) == [("t1", "7.0", "2000"), ("t2", None, "30")]
+    _tsv(f"{tmp_out}/bad", "c.tsv", ["title_id\taverageRating\tnumVotes", "t1\t7.0\t2000"])
+    with pytest.raises(ValueError, match="c.tsv: missing column tconst"):
+        read_raw(spark, f"{tmp_out}/bad", "title.ratings")
+    _tsv(f"{tmp_out}/short", "d.tsv", ["tconst\taverageRating\tnumVotes", "t1\t7.0"])
+    with pytest.raises(Exception, match="not 3 fields"):
+        read_raw(spark, f"{tmp_out}/short", "title.ratings").collect()
+    _tsv(f"{tmp_out}/blank", "e.tsv", ["titleId\tregion", "t1\t", "t2\t\\N", 't3\t"US'])
+    assert rows(read_raw(spark, f"{tmp_out}/blank", "title.akas")) == [("t1", ""), ("t2", None), ("t3", '"US')]
+
+
+def test_failed_table_leaves_the_old_six(spark, raw_dir, tmp_out):
+    from dataclasses import replace
+
+    raw = RawSources.from_raw_dict(read_raw_dir(spark, raw_dir))
+    paths = etl.run_etl(spark, raw, tmp_out, EtlParams())
+    before = {n: sorted(os.listdir(p)) for n, p in paths.items()}
+    broken = replace(raw, akas=raw.akas.withColumn("region", F.when(F.length("region") > 0, F.raise_error(F.concat(F.lit("bad region"), F.col("region"))).cast("string"))))
+    with pytest.raises(Exception, match="bad region"):
+        etl.run_etl(spark, broken, tmp_out, EtlParams())
+    assert {n: sorted(os.listdir(p)) for n, p in paths.items()} == before
+
+
+def test_type_filter_can_skip_files(spark, tmp_out):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    from marquee.sinks import write_table
+
+    df = spark.range(4000).select(F.concat(F.lit("t"), F.col("id") % 4).alias("titleType"), (F.col("id") % 30).alias("startYear"), "id")
+    old = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        write_table(df, f"{tmp_out}/t.parquet", cluster_by=["titleType", "startYear", "id"])
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", old)
+    spans = [pq.read_metadata(f).row_group(0).column(0).statistics for f in glob.glob(f"{tmp_out}/t.parquet/*.parquet")]
+    assert len(spans) > 3
+    assert sum(x.min <= "t2" <= x.max for x in spans) <= len(spans) / 2
+
+
+def test_sizes_under_an_underscore_folder(spark, tmp_out):
+    from marquee.operators import file_sizes
+
+    spark.range(5).write.parquet(f"{tmp_out}/_stage/gold/a.parquet")
+    got = {r["dataset"]: r["bytes"] for r in file_sizes(spark, f"{tmp_out}/_stage/gold").collect()}
+    assert set(got) == {"a.parquet", "__total__"} and got["a.parquet"] == got["__total__"] > 0
+
+
+def test_verdict_counts_missing_and_damaged(spark, raw_dir, tmp_out):
+    import glob
+
+    from marquee.operators import dataset_summary, open_tables, table_profile
+    from marquee.schemas import GOLD_TABLES
+
+    paths = etl.run_etl(spark, RawSources.from_raw_dict(read_raw_dir(spark, raw_dir)), tmp_out, EtlParams())
+    os.rename(paths["actors"], f"{tmp_out}/elsewhere")
+    for f in glob.glob(f"{paths['countries']}/*.parquet"):
+        with open(f, "wb") as out:
+            out.write(b"not parquet")
+    reasons = {}
+    tables = open_tables(spark, tmp_out, GOLD_TABLES, verify_rows=True, reasons=reasons)
+    assert set(reasons) == {"actors", "countries"} and all(reasons.values())
+    assert tuple(dataset_summary(table_profile(tables), GOLD_TABLES).first()) == (4, 6, False)
