@@ -5,7 +5,8 @@
 1. ``etl``: the catalogue mapping of the driver tables and the full ETL,
    writing the six gold tables as ZSTD Parquet (as the catalogue pipeline does).
 2. one entry per analysis, run on the written gold tables.
-3. ``e2e_<flagship>``: the flagship query straight from the driver tables.
+3. every ETL stage and the row counts, straight from the driver tables.
+4. ``e2e_<flagship>``: the flagship query straight from the driver tables.
 
 Each query runs to completion into Spark's ``noop`` sink (all rows computed,
 nothing collected). Prints one JSON line.
@@ -35,7 +36,7 @@ def main() -> None:
 
     from marquee.config import DRIVER_ETL
     from marquee.plans import etl
-    from marquee.plans.registry import ANALYSES, FLAGSHIP, QUERIES
+    from marquee.plans.registry import ANALYSES, ETL_STAGES, FLAGSHIP, QUERIES
     from marquee.session import build_session
     from marquee.sources import driver_sources, read_gold
 
@@ -80,6 +81,10 @@ def main() -> None:
     gold = read_gold(spark, gold_dir)
     for name, fn in ANALYSES.items():
         run(name, lambda fn=fn: fn(gold).write.format("noop").mode("overwrite").save())
+    stages_from = len(timings)
+    for name in (*ETL_STAGES, "etl_row_counts"):
+        run(name, lambda name=name: QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save())
+    stages_sec = round(sum(list(timings.values())[stages_from:]), 3)
     run(f"e2e_{FLAGSHIP}",
         lambda: QUERIES[FLAGSHIP](spark, sf_dir).write.format("noop").mode("overwrite").save())
 
@@ -93,6 +98,7 @@ def main() -> None:
         "sf": _sf_of(sf_dir),
         "cpus": cpus,
         "warmup_sec": warmup,
+        "stages_sec": stages_sec,
         "gold_rows": gold_rows,
     }))
     spark.stop()

@@ -31,6 +31,18 @@ def plan_text(df, mode: str | None = None) -> str:
     return buf.getvalue()
 
 
+def without_cached(text: str) -> str:
+    """A plan's lines but for the plans behind its cached tables."""
+    out, inside = [], None
+    for line in text.splitlines():
+        depth = len(line) - len(line.lstrip(" :+-"))
+        if inside is not None and depth > inside:
+            continue
+        inside = depth if "InMemoryRelation" in line else None
+        out.append(line)
+    return "\n".join(out)
+
+
 def summarise(df) -> dict[str, str]:
     text = plan_text(df)
     formatted = plan_text(df, "formatted")
@@ -54,7 +66,7 @@ def main() -> None:
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.1"
     from marquee.config import DRIVER_ETL
     from marquee.plans import etl
-    from marquee.plans.registry import ANALYSES
+    from marquee.plans.registry import ANALYSES, QUERIES
     from marquee.session import build_session
     from marquee.sources import driver_sources, read_gold
 
@@ -90,6 +102,13 @@ def main() -> None:
     print("| --- | " + " | ".join("---" for _ in cols) + " |")
     for name, s in rows:
         print(f"| {name} | " + " | ".join(s[c].replace("|", "/") for c in cols) + " |")
+    print("\n## Registered queries, from the driver tables\n")
+    print("Of the initial plan: scans of driver tables, scans of the persisted `titles_clean`, shuffles.\n")
+    print("| query | scans | cached | shuffles |\n| --- | --- | --- | --- |")
+    for name, query in QUERIES.items():
+        own = without_cached(plan_text(query(spark, sf)))
+        print(f"| {name} | {own.count('FileScan parquet')} | {own.count('InMemoryTableScan')} | {len(re.findall(r' Exchange ', own))} |")
+        spark.catalog.clearCache()
     spark.stop()
 
 
