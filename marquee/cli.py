@@ -27,15 +27,21 @@ def _session(args):
 
 def cmd_etl(args) -> int:
     from marquee.plans import etl
-    from marquee.sources import RawSources, read_landed, read_raw_dir
+    from marquee.sources import RawSources, land_raw_as_parquet, read_landed, read_raw_dir
 
     spark = _session(args)
     p = EtlParams(
         year_lo=args.year_lo, year_hi=args.year_hi, min_votes=args.min_votes,
         exclude_adult=args.exclude_adult,
     )
-    raw = read_landed(spark, args.raw) if args.landed else read_raw_dir(spark, args.raw, args.raw_partitions)
     t0 = time.time()
+    if args.landed:
+        raw = read_landed(spark, args.raw)
+    elif args.raw_partitions or args.no_land:
+        raw = read_raw_dir(spark, args.raw, args.raw_partitions)
+    else:  # gzip files are one task each: one Parquet copy first, which splits
+        land_raw_as_parquet(spark, args.raw, f"{args.out.rstrip('/')}/_landed")
+        raw = read_landed(spark, f"{args.out.rstrip('/')}/_landed")
     paths = etl.run_etl(spark, RawSources.from_raw_dict(raw), args.out, p, partition_by_type=args.partition_by_type)
     from marquee.sources import read_gold
 
@@ -116,7 +122,8 @@ def main(argv: list[str] | None = None) -> int:
     e.add_argument("--raw", required=True)
     e.add_argument("--out", required=True)
     e.add_argument("--landed", action="store_true", help="--raw holds landed Parquet")
-    e.add_argument("--raw-partitions", type=int, default=None)
+    e.add_argument("--raw-partitions", type=int, default=None, help="spread each raw file over so many tasks instead of landing it")
+    e.add_argument("--no-land", action="store_true", help="read the raw files directly")
     e.add_argument("--year-lo", type=int, default=1950)
     e.add_argument("--year-hi", type=int, default=2024)
     e.add_argument("--min-votes", type=int, default=1000)
