@@ -46,7 +46,7 @@ _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 @lru_cache(1)
-def _folded() -> np.ndarray:
+def folded() -> np.ndarray:
     """Code point -> lower-cased code point if a letter, else a blank."""
     low = np.full(0x110000, 32, np.uint32)
     for c in range(0x110000):
@@ -68,7 +68,7 @@ def grams_of(texts: list[str]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.nd
     joined = "\n".join(texts) + "\n"
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
     owner = np.repeat(np.arange(len(texts)), np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts)))
-    low = _folded()[points]
+    low = folded()[points]
     blank = low == 32
     letters = np.bincount(owner[~blank], minlength=len(texts)) > 0
     keep = ~blank
