@@ -25,26 +25,35 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)).select("row.*")
 
 
-def _only(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is in ``kept`` (ids only)."""
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_kept_id"]), "left_semi")
+#: Ids (8 bytes each) that may be broadcast; more of them meet the documents in
+#: a shuffle join.
+BROADCAST_IDS = 4_000_000
+
+
+def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is not in ``dropped`` (ids only). The
+    ids are counted first, so that whole texts are shuffled only if need be."""
+    ids = written(dropped.select(F.col("doc_id").alias("_dropped_id")).distinct(), f"dropped-{name}")
+    if ids.count() <= BROADCAST_IDS:
+        ids = F.broadcast(ids)
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_dropped_id"]), "left_anti")
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the survivor of every group of equal texts."""
-    return _only(docs, exactdedup.exact_dedup(docs).where("kept"))
+    return _without(docs, exactdedup.exact_dedup(docs).where("not kept"), "exact")
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the document with the smallest id of every component."""
-    return _only(docs, simhash.near_dedup(docs, shingle=4, radius=4).where("doc_id <=> component_id"))
+    found = simhash.near_dedup(docs, shingle=4, radius=4)
+    return _without(docs, found.where("not (doc_id <=> component_id)"), "simhash")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents with a word inside an occurrence of a benchmark window."""
     found = decontam.digest(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")))
-    return _only(docs, written(found.where("not contaminated").select("doc_id"), "clean-ids"))
+    return _without(docs, found.where("contaminated"), "leaks")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
