@@ -2,13 +2,14 @@
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
 as Parquet and read again as the next stage's input; all but the last return
-the columns of ``documents``. Rows that repeat a doc_id are one document to the
-stages that decide by doc_id. Extra columns pass through unread.
+the columns of ``documents``. The stages decide per row: a row is named by its
+place in the files of the stage's input, so rows that repeat a doc_id (the null
+id, too) stay or go each by itself. Extra columns pass through unread.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import decontam, exactdedup, langid, packing, simhash
@@ -25,35 +26,72 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)).select("row.*")
 
 
-#: Ids (8 bytes each) that may be broadcast; more of them meet the documents in
-#: a shuffle join.
-BROADCAST_IDS = 4_000_000
-
-
-def _without(docs: DataFrame, dropped: DataFrame, name: str) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is not in ``dropped`` (ids only). The
-    ids are counted first, so that whole texts are shuffled only if need be."""
-    ids = written(dropped.select(F.col("doc_id").alias("_dropped_id")).distinct(), f"dropped-{name}")
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["_dropped_id"]), "left_anti")
+#: Row keys (8 bytes each) that may be broadcast; more of them meet the
+#: documents in a shuffle join.
+BROADCAST_ROWS = 4_000_000
+#: Rows of one file stay below 2^this in the row key.
+FILE_ROW_BITS = 40
+
+
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key (long, never null) for every row, and the key's name.
+    The key is the number of the file, in order of the paths, and the row's
+    place in it, so every scan gives a row the same key. What is not a plain
+    scan of files is written first."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs, "rows")
+    name = "_row"
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    place = docs.metadataColumn("_metadata")
+    # As many as the driver lists to plan the scan.
+    paths = sorted(r[0] for r in docs.select(place["file_path"]).distinct().collect())
+    files = docs.sparkSession.createDataFrame([(p, i << FILE_ROW_BITS) for i, p in enumerate(paths)], f"{name}path string, {name}base long")
+    placed = docs.select("*", place["file_path"].alias(f"{name}file"), place["row_index"].alias(f"{name}at"))
+    joined = placed.join(F.broadcast(files), placed[f"{name}file"] == files[f"{name}path"])
+    return joined.select(*[docs[c] for c in docs.columns], (F.col(f"{name}base") + F.col(f"{name}at")).alias(name)), name
+
+
+def _without(docs: DataFrame, dropped: DataFrame, row: str, name: str) -> DataFrame:
+    """The rows of ``docs`` whose key is not in ``dropped`` (keys only), without
+    the key. The keys are counted first, so that whole texts are shuffled only
+    if need be."""
+    keys = written(dropped, f"dropped-{name}")
+    if keys.count() <= BROADCAST_ROWS:
+        keys = F.broadcast(keys)
+    return docs.join(keys, row, "left_anti").drop(row)
+
+
+def _first_of_groups(docs: DataFrame, found: DataFrame, row: str, group: str, name: str, *order: Column) -> DataFrame:
+    """The rows of ``docs`` that come first in their group of ``found`` (row
+    key, ``group``), by ``order``, then doc_id (null last), then the row key."""
+    found = written(found.select(row, group), f"groups-{name}")
+    rank = F.struct(*order, F.col("doc_id").isNull(), F.col("doc_id"), F.col(row).alias("row"))
+    first = (found.join(docs.select(row, rank.alias("rank")), row).groupBy(group).agg(F.min("rank").alias("first"))
+             .select(F.col("first.row").alias(row)))
+    return _without(docs, found.select(row).join(first, row, "left_anti"), row, name)
 
 
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the survivor of every group of equal texts."""
-    return _without(docs, exactdedup.exact_dedup(docs).where("not kept"), "exact")
+    """Keeps one row of every group of equal texts: the most code points, then
+    the smallest id."""
+    docs, row = _keyed(docs)
+    points = F.length(F.coalesce(F.col("text"), F.lit("")))
+    return _first_of_groups(docs, exactdedup.exact_dedup(docs, id_col=row), row, "keep_id", "exact", -points)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of every component."""
-    found = simhash.near_dedup(docs, shingle=4, radius=4)
-    return _without(docs, found.where("not (doc_id <=> component_id)"), "simhash")
+    """Keeps one row of every component: the smallest id."""
+    docs, row = _keyed(docs)
+    found = simhash.near_dedup(docs, shingle=4, radius=4, id_col=row)
+    return _first_of_groups(docs, found, row, "component_id", "simhash")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents with a word inside an occurrence of a benchmark window."""
-    found = decontam.digest(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark")))
-    return _without(docs, found.where("contaminated"), "leaks")
+    """Drops rows with a word inside an occurrence of a benchmark window."""
+    docs, row = _keyed(docs)
+    found = decontam.digest(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col=row))
+    return _without(docs, found.where("contaminated").select(row), row, "leaks")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -25,6 +25,29 @@ def test_stages_keep_the_columns(spark, make, tmp_path):
         assert stage(spark, make([]), str(tmp_path)).count() == 0
 
 
+def test_rows_that_share_an_id_are_decided_one_by_one(spark, make, tmp_path):
+    bench = spark.createDataFrame([(1, "vier kleine katzen sitzen dort")], "item_id long, text string")
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    rows = [(None, "a first text", "en"), (None, "another one, clean", "en"), (3, "a first text", "en"), (5, "a first text", "en"),
+            (5, "only here, under an id given twice", "en"), (8, "said twice", "en"), (8, "said twice", "en"), (8, "said  twice", "en"),
+            (None, "vier kleine katzen sitzen dort", "de")]
+    docs = make(rows)
+
+    def left(stage, docs):
+        return sorted(((r["doc_id"], r["text"]) for r in stage(spark, docs, str(tmp_path)).collect()), key=str)
+
+    clean = [(None, "another one, clean"), (3, "a first text"), (5, "only here, under an id given twice")]
+    leak = (None, "vier kleine katzen sitzen dort")
+    assert left(corpus_pipeline.exact_dedup, docs) == sorted([*clean, (8, "said  twice"), leak], key=str)
+    assert left(corpus_pipeline.simhash_dedup, docs) == sorted([*clean, (8, "said twice"), leak], key=str)
+    assert left(corpus_pipeline.decontamination, docs) == sorted([(i, t) for i, t, _ in rows[:-1]], key=str)
+    # From files, in several partitions, and with a column named as the key.
+    docs.withColumnRenamed("key", "_row").repartition(3).write.parquet(f"{tmp_path}/docs.parquet")
+    read = spark.read.parquet(f"{tmp_path}/docs.parquet")
+    assert corpus_pipeline.exact_dedup(spark, read, str(tmp_path)).columns == read.columns
+    assert [t for _, t in left(corpus_pipeline.exact_dedup, read) if "twice" in t and "said" in t] == ["said  twice"]
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
