@@ -151,6 +151,16 @@ def test_toxicity_learns_and_scores(spark, make):
     assert toxicity.score(make([]), model).count() == 0
 
 
+def test_every_learning_row_counts(spark, make):
+    passage = "a passage that very many pages share word by word and that goes on for a while "
+    texts = [passage + f"then page {i} goes its own way {i * 7} entirely" for i in range(20)] + ["equal text with two labels"] * 3
+    docs = make([(i, t, "en") for i, t in enumerate(texts)])
+    labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(23)], "doc_id long, toxic int")
+    rows = toxicity.halved(toxicity.labelled(docs, labels, F.lit(True), "toxic")).collect()
+    assert sorted((r["text"], r["y"]) for r in rows) == sorted((t, int(i % 5 == 0)) for i, t in enumerate(texts))
+    assert len({r["half"] for r in rows if r["text"] == texts[-1]}) == 1
+
+
 def test_quality_held_out(spark, make):
     d = "/root/testdata/sf0.01"
     docs, labels = spark.read.parquet(f"{d}/documents.parquet"), spark.read.parquet(f"{d}/labels.parquet")
