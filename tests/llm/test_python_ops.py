@@ -136,6 +136,19 @@ def test_restores_hidden_words(spark):
     assert r.words("the house") >= {"the", "house"} and r.words(None) == r.words("") == set()
 
 
+def test_restores_phrases(spark):
+    words = "you idiot loser trash worthless moron stupid the and with house".split()
+    docs = spark.createDataFrame([(" ".join(words),)] * 20, "text string")
+    r = toxicity.Restorer(toxicity.char_model(toxicity.char_counts(docs)))
+    for hidden, found in [("y o u i d i o t", {"you", "idiot"}), ("m0r0n-1d10t", {"moron", "idiot"}), ("y.o.u.l-o-s-e-r", {"you", "loser"}),
+                          ("the s t u p 1 d m o r o n house", {"stupid", "moron"}), (" ".join("youidiot" * 9), {"you", "idiot"})]:
+        assert found <= r.words(hidden), hidden
+    # No word is cut at any length of run.
+    for n in range(55, 68):
+        assert "moron" in toxicity.restore("-".join("worthless" * 9)[:n].rstrip("-") + "-m-o-r-o-n", r.model, breaks=True).split(), n
+    assert "worthless" * 9 == toxicity.restore("-".join("worthless" * 9), r.model)
+
+
 def test_toxicity_learns_and_scores(spark, make):
     rng = random.Random(6)
     clean = "the and house with tree river stone bread water light".split()
