@@ -164,6 +164,25 @@ def test_toxicity_learns_and_scores(spark, make):
     assert toxicity.score(make([]), model).count() == 0
 
 
+def test_no_count_is_left_out(spark, make):
+    docs = spark.createDataFrame([("idiot loser the house",)] * 20 + [("漢字 한글",)], "text string")
+    counts = toxicity.char_counts(docs)
+    whole, hashed = toxicity.char_model(counts), toxicity.char_model(counts, exact=3)
+    assert isinstance(hashed.tri, toxicity.Cells) and isinstance(hashed.bi, toxicity.Cells)
+    grams = ["   ", "  i", "idi", "ot ", "  漢", " 漢字", "漢字 ", "한글 ", "zzz"]
+    assert all(whole.cost(*g) == hashed.cost(*g) for g in grams) and hashed.tri.get("漢字 ") == 1
+    assert whole.total == hashed.total
+    rng = random.Random(6)
+    clean = "the and house with tree river stone bread water light".split()
+    rows = [(i, " ".join(rng.choices(clean, k=12) + (["scumbag", "wretch"] if i % 4 == 0 else [])), "en") for i in range(300)]
+    labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    scores = []
+    for block in (50_000, 2):
+        model = toxicity.learn(make(rows), labels, F.col("doc_id") < 250, block_words=block)
+        scores.append({r["doc_id"]: r["score"] for r in toxicity.score(make(rows), model).collect()})
+    assert model.blocks > 1 and scores[0] == scores[1] and len(set(scores[0].values())) > 1
+
+
 def test_every_learning_row_counts(spark, make):
     passage = "a passage that very many pages share word by word and that goes on for a while "
     texts = [passage + f"then page {i} goes its own way {i * 7} entirely" for i in range(20)] + ["equal text with two labels"] * 3
