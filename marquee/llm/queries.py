@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exactdedup, langid, linededup, packing, quality, simhash, tokencount, toxicity
+from . import chat, conversation_sql, decontam, exactdedup, langid, linededup, packing, prefixtrie, quality, repair, simhash, tokencount, toxicity
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -194,3 +194,22 @@ SELECT conv_id, count(*) AS n_turns,
                 AND (after IS NOT NULL OR role = 'assistant')) AS valid
 FROM s GROUP BY conv_id
 """
+
+
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefixtrie.turn_rows(table(spark, sf_dir, "conversations"))
+    convs, rows = prefixtrie.shared_heads(turns, group=5, head=fold("conv", 9), most=8)
+    return prefixtrie.node_report(prefixtrie.build(convs, rows))
+
+
+QUERIES["op11_prefix_trie"] = op11_prefix_trie
+ORACLE["op11_prefix_trie"] = conversation_sql.PREFIX_TRIE
+
+
+def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    return repair.digest(repair.repair(repair.damage(turns)), turns)
+
+
+QUERIES["op12_structure_repair"] = op12_structure_repair
+ORACLE["op12_structure_repair"] = conversation_sql.REPAIR
