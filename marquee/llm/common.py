@@ -95,3 +95,13 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         if now == last:
             return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     raise RuntimeError(f"components did not settle in {rounds} rounds")
+
+
+#: Rows that may be broadcast; beyond them a join shuffles.
+BROADCAST_ROWS = 1_000_000
+
+
+def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` (written before) with a broadcast hint if it is counted to have
+    ``rows`` rows or fewer; results are the same either way."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, conversation_sql, decontam, exactdedup, langid, linededup, packing, prefixtrie, quality, repair, simhash, tokencount, toxicity
+from . import (chat, conversation_sql, decontam, exactdedup, langid, linededup, packing, personal_sql, prefixtrie, quality, repair, sanitise,
+               simhash, tokencount, toxicity)
 from .common import fold, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -213,3 +214,11 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["op12_structure_repair"] = op12_structure_repair
 ORACLE["op12_structure_repair"] = conversation_sql.REPAIR
+
+
+def op13_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sanitise.digest(sanitise.find(table(spark, sf_dir, "documents"))[0])
+
+
+QUERIES["op13_pii"] = op13_pii
+ORACLE["op13_pii"] = personal_sql.SANITISE

@@ -51,5 +51,5 @@ def test_rows_that_share_an_id_are_decided_one_by_one(spark, make, tmp_path):
 def test_registered():
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
-    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 13)}
+    assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
