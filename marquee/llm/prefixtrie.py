@@ -38,7 +38,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import python_batches, written
+from .common import python_batches, scratch, written
 
 #: Places of one slice of a conversation.
 SLICE = 1024
@@ -136,21 +136,29 @@ def subtree_totals(nodes: DataFrame, sums: tuple[str, ...]) -> DataFrame:
     ``nodes``: node, parent (null for the root), depth and the columns ``sums``
     (long). Any tree or forest will do; depth only ranks nodes."""
     up = {s: f"up_{s}" for s in sums}
-    alive = nodes.select("node", "parent", "depth", *sums, *[F.lit(0).cast("long").alias(u) for u in up.values()])
-    raked: list[DataFrame] = []
-    spliced: list[DataFrame] = []
-    left, turn = 1, 0
-    while left:
+    zero = F.lit(0).cast("long")
+    base = scratch(nodes.sparkSession, "trie-rounds")
+    kids = nodes.where("parent is not null").groupBy(F.col("parent").alias("k")).agg(F.count("*").alias("inner"))
+    state = ["node", "parent", "depth", "inner", *sums, *up.values()]
+    # A round's table: what is left, by nodes with and without children left;
+    # v: the node that was spliced out above this one, and w: what it adds to it.
+    alive = (nodes.join(kids, F.col("node") == F.col("k"), "left").withColumn("inner", F.coalesce("inner", zero))
+             .select("node", "parent", "depth", "inner", *sums, *[zero.alias(u) for u in up.values()],
+                     F.lit(None).cast("long").alias("v"), *[zero.alias(f"w_{s}") for s in sums]))
+    schema, turn = alive.schema, 0
+    while True:
+        alive.write.parquet(f"{base}/round={turn}")
+        alive = nodes.sparkSession.read.schema(schema).parquet(f"{base}/round={turn}").select(*state)
         # Rake.
-        kids = alive.where("parent is not null").groupBy(F.col("parent").alias("k")).agg(F.lit(1).alias("has"))
-        seen = written(alive.join(kids, F.col("node") == F.col("k"), "left").select(*alive.columns, F.col("has").isNull().alias("leaf")), f"trie-seen-{turn}")
-        raked.append(seen.where("leaf").select("node", *[F.col(s).alias(f"total_{s}") for s in sums]))
-        inner = ~F.col("leaf")
-        given = (seen.where("parent is not null").groupBy(F.col("parent").alias("k"))
-                 .agg(*[F.sum(F.when(F.col("leaf"), F.col(s) + F.col(u))).alias(f"in_{s}") for s, u in up.items()],
-                      F.count_if(inner).alias("inner"), F.min(F.when(inner, F.col("node"))).alias("child")))
-        rest = written(seen.where(inner).join(given, F.col("node") == F.col("k"))
-                       .select("node", "parent", "depth", *[(F.col(s) + F.coalesce(f"in_{s}", F.lit(0))).alias(s) for s in sums], *up.values(), "inner", "child"), f"trie-rest-{turn}")
+        inner = F.col("inner") > 0
+        given = (alive.where("parent is not null").groupBy(F.col("parent").alias("k"))
+                 .agg(*[F.coalesce(F.sum(F.when(~inner, F.col(s) + F.col(u))), zero).alias(f"in_{s}") for s, u in up.items()],
+                      F.count_if(inner).alias("now"), F.min(F.when(inner, F.col("node"))).alias("child")))
+        rest = written(alive.where(inner).join(given, F.col("node") == F.col("k"))
+                       .select("node", "parent", "depth", F.col("now").alias("inner"), *[(F.col(s) + F.col(f"in_{s}")).alias(s) for s in sums], *up.values(), "child"),
+                       f"trie-rest-{turn}")
+        if rest.isEmpty():
+            break
         # Compress.
         rank = F.struct(F.shiftright("depth", turn % 16).bitwiseAND(F.lit(1).cast("long")) == 0, F.xxhash64(F.lit(turn), "node"), "node")
         unary = rest.where("inner = 1 and parent is not null").select("node", "child", "parent", rank.alias("rank"), *sums, *up.values())
@@ -160,27 +168,20 @@ def subtree_totals(nodes: DataFrame, sums: tuple[str, ...]) -> DataFrame:
         out = written(unary.join(lost, "node", "left_anti"), f"trie-out-{turn}")
         gone = out.select(F.col("node").alias("v"), F.col("child").alias("c"), F.col("parent").alias("p"),
                           *[F.col(s).alias(f"v_{s}") for s in sums], *[F.col(u).alias(f"v_{u}") for u in up.values()])
-        kept = rest.join(out.select("node"), "node", "left_anti")
-        moved = kept.join(gone, F.col("node") == F.col("c"), "left")
-        spliced.append(moved.where("v is not null").select(F.col("v"), F.col("c"), *[(F.col(u) + F.col(f"v_{s}")).alias(f"w_{s}") for s, u in up.items()]))
-        alive = moved.select("node", F.coalesce("p", "parent").alias("parent"), "depth", *sums,
-                             *[(F.col(u) + F.coalesce(f"v_{s}", F.lit(0)) + F.coalesce(f"v_{u}", F.lit(0))).alias(u) for s, u in up.items()])
-        alive = written(alive, f"trie-alive-{turn}")
-        left, turn = alive.count(), turn + 1
-
-    def together(parts: list[DataFrame]) -> DataFrame:
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-
-    totals = together(raked)
-    open_ = written(together(spliced), "trie-spliced")
-    # Chains of spliced nodes are at most as long as there were rounds.
-    for step in range(max(0, turn - 1).bit_length()):
+        moved = rest.join(out.select("node"), "node", "left_anti").join(gone, F.col("node") == F.col("c"), "left")
+        alive = moved.select("node", F.coalesce("p", "parent").alias("parent"), "depth", "inner", *sums,
+                             *[(F.col(u) + F.coalesce(f"v_{s}", zero) + F.coalesce(f"v_{u}", zero)).alias(u) for s, u in up.items()],
+                             "v", *[(F.col(u) + F.coalesce(f"v_{s}", zero)).alias(f"w_{s}") for s, u in up.items()])
+        turn += 1
+
+    rounds = nodes.sparkSession.read.schema(schema).parquet(*[f"{base}/round={r}" for r in range(turn + 1)])
+    totals = rounds.where("inner = 0").select("node", *[F.col(s).alias(f"total_{s}") for s in sums])
+    open_ = rounds.where("v is not null").select("v", F.col("node").alias("c"), *[f"w_{s}" for s in sums])
+    # Chains of spliced nodes are no longer than there were rounds.
+    for step in range(turn.bit_length()):
+        open_ = written(open_, f"trie-open-{step}")
         on = open_.select(F.col("v").alias("c"), F.col("c").alias("c2"), *[F.col(f"w_{s}").alias(f"w2_{s}") for s in sums])
-        open_ = written(open_.join(on, "c", "left").select("v", F.coalesce("c2", "c").alias("c"),
-                        *[(F.col(f"w_{s}") + F.coalesce(f"w2_{s}", F.lit(0))).alias(f"w_{s}") for s in sums]), f"trie-open-{step}")
+        open_ = open_.join(on, "c", "left").select("v", F.coalesce("c2", "c").alias("c"), *[(F.col(f"w_{s}") + F.coalesce(f"w2_{s}", zero)).alias(f"w_{s}") for s in sums])
     grown = (open_.join(totals.withColumnRenamed("node", "c"), "c")
              .select(F.col("v").alias("node"), *[(F.col(f"total_{s}") + F.col(f"w_{s}")).alias(f"total_{s}") for s in sums]))
     return totals.unionByName(grown)
@@ -194,20 +195,18 @@ def id_digests(ends: DataFrame) -> DataFrame:
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         node, held, least = None, [], 0
-
-        def piece() -> pd.DataFrame:
-            return pd.DataFrame({"node": [node], "least": [least], "ids": [",".join(held)]})
-
         for batch in batches:
+            done = []
             for n, c in zip(batch["node"], batch["conv"], strict=True):
                 if held and (n != node or len(held) == PIECE):
-                    yield piece()
+                    done.append((node, least, ",".join(held)))
                     held = []
                 if not held:
                     node, least = n, c
                 held.append(str(c))
+            yield pd.DataFrame(done, columns=["node", "least", "ids"])
         if held:
-            yield piece()
+            yield pd.DataFrame([(node, least, ",".join(held))], columns=["node", "least", "ids"])
 
     def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         node, sha = None, None
