@@ -18,12 +18,12 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import replace
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
 from marquee.config import DRIVER_ANALYSIS as A
 from marquee.config import DRIVER_ETL as P
 from marquee.plans import dashboard, etl, genres, geography
+from marquee.session import shared_folder
 from marquee.sources.testdata import driver_sources
 
 Gold = dict[str, DataFrame]
@@ -45,12 +45,12 @@ ANALYSES: dict[str, Analysis] = {
     # explicit picks, the pickers' default selections and an empty selection
     "directors_in_1990s": lambda g: dashboard.analyses(replace(A, decade=1990))["top_directors_in_decade"](g),
     "actors_in_1990s": lambda g: dashboard.analyses(replace(A, decade=1990))["top_actors_in_decade"](g),
-    "season_ratings_of_title": lambda g: dashboard.analyses(replace(A, series_title="Title 7"))["season_ratings"](g),
+    "season_ratings_of_title": lambda g: dashboard.analyses(replace(A, series_title="Title 228"))["season_ratings"](g),
     "genre_timeline_default": lambda g: dashboard.analyses(replace(A, selected_genres=None))["genre_timeline"](g),
     "country_timeline_default": lambda g: dashboard.analyses(replace(A, selected_regions=None))["country_timeline"](g),
     "genre_timeline_empty": lambda g: dashboard.analyses(replace(A, selected_genres=()))["genre_timeline"](g),
 }
-#: Analyses that read several gold tables: these share one persisted title join.
+#: Analyses that read several gold tables: these share one checkpointed title join.
 MANY_TABLES = ("table_profile", "null_profile", "dataset_summary", "season_ratings", "season_ratings_of_title", "series_kpis",
                "season_analysis", "series_most_seasons", "series_most_episodes", "series_picklist", "top_directors_in_decade",
                "top_actors_in_decade", "genre_timeline_default", "country_timeline_default")
@@ -63,10 +63,12 @@ ETL_STAGES = (
 
 
 def shared_stages(spark: SparkSession, sf_dir: str) -> etl.EtlStages:
-    """Stages that all start from one persisted ``titles_clean`` (memory, then
-    disk; a lost block is computed again), so its joins run once a query."""
+    """Stages that all start from one ``titles_clean``, checkpointed in the
+    shared folder, so its joins run once a query. Nothing stays in the session:
+    the files go with the last reference, where the cluster cleans checkpoints."""
+    shared_folder(spark)
     raw = driver_sources(spark, sf_dir)
-    titles = etl.build_stages(raw, P).titles_clean.persist(StorageLevel.MEMORY_AND_DISK)
+    titles = etl.build_stages(raw, P).titles_clean.checkpoint()
     return replace(etl.build_stages(raw, P, titles=titles), titles_clean=titles)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
+
 from pyspark.sql import SparkSession
 
 # Settings every job of the package assumes. Adaptive execution re-plans at
@@ -64,3 +67,15 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str | No
         spark.sparkContext.setCheckpointDir(fallback)
         return fallback
     return spark.sparkContext.getCheckpointDir()
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The shared checkpoint folder. Where the session names none, one machine
+    (master ``local``) gets a folder of its own; a cluster is asked to name one,
+    as its executors would not see each other's files."""
+    found = checkpoint_dir(spark)
+    if found:
+        return found
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+    return checkpoint_dir(spark, fallback=tempfile.mkdtemp(prefix="run-", dir="/tmp"))
