@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from marquee.session import shared_folder
+
 #: Rows of one Arrow batch handed to Python: whole texts may be long.
 ARROW_ROWS = 500
 
-_own_dir: str | None = None
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a local one only where the
-    session sets none (single-machine runs, tests)."""
-    global _own_dir
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    if _own_dir is None:
-        _own_dir = tempfile.mkdtemp(prefix="run-", dir="/tmp")
-    return _own_dir
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/llm/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark).rstrip('/')}/llm/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -78,7 +64,7 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     (combined before the shuffle) and a join, never a list of neighbours.
     """
     spark = edges.sparkSession
-    spark.sparkContext.getCheckpointDir() or spark.sparkContext.setCheckpointDir(shared_dir(spark))
+    shared_folder(spark)
     e = (edges.where("a <> b")
          .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct().checkpoint())
 
