@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import decontam, exactdedup, langid, packing, simhash
-from marquee.llm.common import fold, table, written
+from marquee.llm.common import fold, free_name, keyed, table, written
 from marquee.llm.queries import PACK_TOKENIZER, tokenizer_path
 
 
@@ -22,34 +22,14 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     of which no n-gram belongs to any learned language."""
     learnt = docs.select("doc_id", "text", "lang")
     model = langid.learn(learnt, F.coalesce(fold("doc_id", 3) != 1, F.lit(False)))
-    found = langid.identify(docs.select(F.struct(*docs.columns).alias("row"), "text"), model)
-    return found.where((F.col("lang_pred") != langid.UNDETERMINED) & (F.col("score") > 0)).select("row.*")
+    name = free_name(docs, "_found")
+    found = docs.select("*", langid.predictor(spark, model)(F.col("text")).alias(name))
+    return found.where((F.col(f"{name}.lang_pred") != langid.UNDETERMINED) & (F.col(f"{name}.score") > 0)).drop(name)
 
 
 #: Row keys (8 bytes each) that may be broadcast; more of them meet the
 #: documents in a shuffle join.
 BROADCAST_ROWS = 4_000_000
-#: Rows of one file stay below 2^this in the row key.
-FILE_ROW_BITS = 40
-
-
-def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a key (long, never null) for every row, and the key's name.
-    The key is the number of the file, in order of the paths, and the row's
-    place in it, so every scan gives a row the same key. What is not a plain
-    scan of files is written first."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = written(docs, "rows")
-    name = "_row"
-    while name.lower() in {c.lower() for c in docs.columns}:
-        name += "_"
-    place = docs.metadataColumn("_metadata")
-    # As many as the driver lists to plan the scan.
-    paths = sorted(r[0] for r in docs.select(place["file_path"]).distinct().collect())
-    files = docs.sparkSession.createDataFrame([(p, i << FILE_ROW_BITS) for i, p in enumerate(paths)], f"{name}path string, {name}base long")
-    placed = docs.select("*", place["file_path"].alias(f"{name}file"), place["row_index"].alias(f"{name}at"))
-    joined = placed.join(F.broadcast(files), placed[f"{name}file"] == files[f"{name}path"])
-    return joined.select(*[docs[c] for c in docs.columns], (F.col(f"{name}base") + F.col(f"{name}at")).alias(name)), name
 
 
 def _without(docs: DataFrame, dropped: DataFrame, row: str, name: str) -> DataFrame:
@@ -75,21 +55,21 @@ def _first_of_groups(docs: DataFrame, found: DataFrame, row: str, group: str, na
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of every group of equal texts: the most code points, then
     the smallest id."""
-    docs, row = _keyed(docs)
+    docs, row = keyed(docs)
     points = F.length(F.coalesce(F.col("text"), F.lit("")))
     return _first_of_groups(docs, exactdedup.exact_dedup(docs, id_col=row), row, "keep_id", "exact", -points)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of every component: the smallest id."""
-    docs, row = _keyed(docs)
+    docs, row = keyed(docs)
     found = simhash.near_dedup(docs, shingle=4, radius=4, id_col=row)
     return _first_of_groups(docs, found, row, "component_id", "simhash")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows with a word inside an occurrence of a benchmark window."""
-    docs, row = _keyed(docs)
+    docs, row = keyed(docs)
     found = decontam.digest(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col=row))
     return _without(docs, found.where("contaminated").select(row), row, "leaks")
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from sys import getsizeof
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,8 @@ from marquee.session import shared_folder
 
 #: Rows of one Arrow batch handed to Python: whole texts may be long.
 ARROW_ROWS = 500
+#: Bytes of one, about; a single row may be longer.
+ARROW_BYTES = 4 << 20
 
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
@@ -28,10 +32,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def python_batches(spark: SparkSession) -> None:
-    """Bounds the Arrow batches by rows, unless the session has a lower bound."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= ARROW_ROWS:
-        spark.conf.set(key, str(ARROW_ROWS))
+    """Bounds the Arrow batches that go to Python by rows and by bytes, unless
+    the session has lower bounds. Frames are lazy, so the settings have to hold
+    until the caller's action and stay in the session."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", ARROW_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)):
+        number, unit = re.fullmatch(r"(-?\d+)([kmg]?)b?", spark.conf.get(key).lower()).groups()
+        if not 0 < int(number) * 1024 ** " kmg".index(unit or " ") <= most:
+            spark.conf.set(key, str(most))
+
+
+class Recent(dict):
+    """What ``make`` gives for a key, remembered by a worker. Memory is bounded
+    by bytes: when the entries since the last change of generation exceed
+    ``most``, they become the old generation and the old one goes; entries that
+    are asked for again move up."""
+
+    def __init__(self, make: Callable, most: int = 12 << 20):
+        super().__init__()
+        self.make, self.most, self.size, self.old = make, most, 0, {}
+
+    def __missing__(self, key):
+        value = self.old[key] if key in self.old else self.make(key)
+        self.size += getsizeof(key) + getsizeof(value) + 120  # and its place in the table
+        if self.size > self.most:
+            self.old, self.size = dict(self), 0
+            self.clear()
+        self[key] = value
+        return value
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -96,3 +123,87 @@ def if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` (written before) with a broadcast hint if it is counted to have
     ``rows`` rows or fewer; results are the same either way."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+#: Rows of one file stay below 2^this in a row key.
+FILE_ROW_BITS = 40
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with underscores added until no column has it."""
+    while name.lower() in {c.lower() for c in docs.columns}:
+        name += "_"
+    return name
+
+
+def scanned_files(docs: DataFrame, name: str = "rows") -> tuple[DataFrame, list[str]]:
+    """``docs`` as a plain scan of files (written first if it is none), and the
+    paths in order: as many as the driver lists to plan the scan."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+        docs = written(docs, name)
+    return docs, sorted(r[0] for r in docs.select(docs.metadataColumn("_metadata")["file_path"]).distinct().collect())
+
+
+def keyed(docs: DataFrame, paths: list[str] | None = None, only: range | None = None) -> tuple[DataFrame, str]:
+    """``docs`` with a key (long, never null) for every row, and the key's name.
+    The key is the number of the file, in order of the paths, and the row's
+    place in it, so every scan gives a row the same key. ``only`` reads the files
+    of these numbers alone."""
+    if paths is None:
+        docs, paths = scanned_files(docs)
+    name = free_name(docs, "_row")
+    place = docs.metadataColumn("_metadata")
+    numbers = range(len(paths)) if only is None else only
+    files = docs.sparkSession.createDataFrame([(paths[i], i << FILE_ROW_BITS) for i in numbers], f"{name}path string, {name}base long")
+    placed = docs.select("*", place["file_path"].alias(f"{name}file"), place["row_index"].alias(f"{name}at"))
+    if only is not None:
+        placed = placed.where(place["file_path"].isin([paths[i] for i in numbers]))
+    joined = placed.join(F.broadcast(files), placed[f"{name}file"] == files[f"{name}path"])
+    return joined.select(*[docs[c] for c in docs.columns], (F.col(f"{name}base") + F.col(f"{name}at")).alias(name)), name
+
+
+#: 2^this rows share an entry of ``Marks``; a file has 2^that of them at most.
+_ENTRY_BITS, _FILE_BITS = 6, FILE_ROW_BITS - 6
+
+
+class Marks:
+    """A 0/1 mark for some rows of a table, which meets the rows where they are
+    read: no other column of the table is shuffled.
+
+    Ids meet marks on narrow rows (row key, id). What comes out is, per 64 rows of
+    a file, two words of 64 bits: which rows have a mark, and which mark. These
+    entries are dealt to passes of ``entries`` at most (24 bytes each; a pass
+    broadcasts its own) by runs of files. A pass reads only its files, so all
+    passes together read the table once; only a file of more entries than that is
+    read by several.
+    """
+
+    def __init__(self, docs: DataFrame, marks: DataFrame, id_col: str, use: Column, entries: int = 1_000_000):
+        """``marks``: (id_col, y), an id once at most; ``use`` is over the id."""
+        self.docs, self.paths = scanned_files(docs)
+        rows, row = keyed(self.docs, self.paths)
+        met = rows.where(use).select(id_col, row).join(marks, id_col)
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(row).bitwiseAND(F.lit(63).cast("long")).cast("int"))
+        self.bits = written(met.groupBy(F.shiftright(row, _ENTRY_BITS).alias("run"))
+                            .agg(F.bit_or(bit).alias("has"), F.coalesce(F.bit_or(F.when(F.col("y") > 0, bit)), F.lit(0).cast("long")).alias("yes")), "marks")
+        sizes = (self.bits.groupBy(F.shiftright("run", _FILE_BITS).alias("file")).agg(F.count("*").alias("n"), F.max("run").alias("last"))
+                 .orderBy("file").collect())  # a row a file
+        self.passes: list[range] = []  # of entries' runs
+        held = entries
+        for file, n, last in sizes:
+            first = file << _FILE_BITS
+            if held + n <= entries:
+                self.passes[-1] = range(self.passes[-1].start, last + 1)
+                held += n
+            else:
+                self.passes += [range(r, min(r + entries, last + 1)) for r in range(first, last + 1, entries)]
+                held = n if n <= entries else entries
+
+    def read(self, runs: range) -> DataFrame:
+        """The rows of a pass that have a mark: the table's columns, and y."""
+        rows, row = keyed(self.docs, self.paths, range(runs.start >> _FILE_BITS, (runs.stop - 1 >> _FILE_BITS) + 1))
+        run, has, yes = (free_name(rows, f"_{n}") for n in ("run", "has", "yes"))
+        here = F.broadcast(self.bits.where((F.col("run") >= runs.start) & (F.col("run") < runs.stop)).toDF(run, has, yes))
+        at = F.col(row).bitwiseAND(F.lit(63).cast("long")).cast("int")
+        met = rows.join(here, F.shiftright(row, _ENTRY_BITS) == F.col(run)).where(F.getbit(F.col(has), at) == 1)
+        return met.select(*[rows[c] for c in self.docs.columns if c != "y"], F.getbit(F.col(yes), at).cast("int").alias("y"))

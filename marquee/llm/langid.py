@@ -26,13 +26,13 @@ gives an empty result. Other columns are never read for a prediction.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import python_batches, text_runs, written
@@ -198,9 +198,8 @@ def learn(docs: DataFrame, use: Column, lang_col: str = "lang", text_col: str =
     return Model(langs, tuple(filters[n] for n in SIZES), passing, hashes)
 
 
-def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """``docs`` with lang_pred and score added (replacing columns of that name)."""
-    spark = docs.sparkSession
+def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
+    """The function of a text column that gives struct<lang_pred, score>."""
     python_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
@@ -209,5 +208,11 @@ def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame
         langs, scores = predict(shared.value, texts.tolist())
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 
+    return of
+
+
+def identify(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """``docs`` with lang_pred and score added (replacing columns of that name)."""
+    of = predictor(docs.sparkSession, model)
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
     return docs.select(*kept, of(F.col(text_col)).alias("_found")).select(*kept, "_found.lang_pred", "_found.score")

@@ -25,6 +25,7 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -32,10 +33,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import python_batches, written
+from .common import Recent, python_batches, written
 
-#: Entries of the two word caches of a worker; they are emptied when full.
-CACHE = 600_000
 #: Rows of one slice of a class, about.
 SLICE = 50_000
 #: A run of letters that lower-case and compose to themselves, then ASCII marks:
@@ -56,8 +55,8 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
+        self.words = Recent(self.word)
+        self.parts = Recent(self.part)
         self.model = self.tokenizer.model
         self.mapped = str.maketrans(_byte_letters())
 
@@ -66,26 +65,19 @@ class WordIds:
 
     def part(self, s: str) -> bytes:
         """Of one pre-token: the model alone, past normalizer and cutter."""
-        got = self.parts.get(s)
-        if got is None:
-            if len(self.parts) > CACHE:
-                self.parts = {"": b""}
-            units = s.encode("utf-8").decode("latin-1").translate(self.mapped)
-            got = self.parts[s] = np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
-        return got
+        if not s:
+            return b""
+        units = s.encode("utf-8").decode("latin-1").translate(self.mapped)
+        return np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
 
     def word(self, w: str) -> bytes:
-        if len(self.words) > CACHE:
-            self.words.clear()
         m = _PLAIN.fullmatch(w)
-        got = self.words[w] = self.part(m[1].lower()) + self.part(m[2]) if m else self.encoded(w)
-        return got
+        return self.parts[m[1].lower()] + self.parts[m[2]] if m else self.encoded(w)
 
     def __call__(self, text: str) -> bytes:
         if _CONTROL.search(text):
             return self.encoded(text)
-        look, miss = self.words.get, self.word
-        return b"".join([look(w) or miss(w) for w in text.split()])
+        return b"".join(map(self.words.__getitem__, text.split()))
 
 
 _CONTROL = re.compile("[\x1c-\x1f]")
@@ -148,38 +140,59 @@ def _knapsack(values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
     return float(best[capacity]), pattern
 
 
+@dataclass
+class _Basis:
+    """The simplex basis of the cutting program: a pattern for each used size."""
+    used: np.ndarray
+    columns: np.ndarray
+    inverse: np.ndarray
+    amount: np.ndarray
+
+
+def _priced(demand: np.ndarray, rounds: int) -> tuple[_Basis, np.ndarray]:
+    """The basis after column generation, and the duals by size."""
+    capacity, used = len(demand), np.flatnonzero(demand)
+    need = demand[used].astype(float)
+    columns = np.diag((capacity // (used + 1)).astype(float))
+    inverse = np.diag(1 / np.diag(columns))
+    basis = _Basis(used, columns, inverse, inverse @ need)
+    duals = np.zeros(capacity)
+    for _ in range(rounds):
+        duals[used] = np.maximum(basis.inverse.sum(axis=0), 0)
+        worth, pattern = _knapsack(duals, capacity)
+        if worth <= 1 + 1e-7:
+            break
+        column = pattern[used].astype(float)
+        move = basis.inverse @ column
+        able = move > 1e-9
+        ratio = np.where(able, basis.amount / np.where(able, move, 1), np.inf)
+        out = int(np.argmin(ratio))
+        basis.columns[:, out] = column
+        basis.inverse[out] /= move[out]
+        others = np.arange(len(used)) != out
+        basis.inverse[others] -= np.outer(move[others], basis.inverse[out])
+        basis.amount = basis.inverse @ need
+    return basis, duals
+
+
+def pattern_duals(demand: np.ndarray, rounds: int = 4000) -> np.ndarray:
+    """Duals of the cutting program by size: demand @ duals bounds the stock of
+    every plan from below once no pattern is worth more than 1."""
+    return _priced(demand, rounds)[1] if demand.any() else np.zeros(len(demand))
+
+
 def cutting_plan(demand: np.ndarray, rounds: int = 4000) -> list[tuple[np.ndarray, int]]:
     """Patterns with how often each is cut, covering ``demand[i]`` pieces of size
     i + 1 out of stock of size len(demand)."""
     capacity = len(demand)
-    used = np.flatnonzero(demand)
     plan: list[tuple[np.ndarray, int]] = []
     left = demand.astype(np.int64).copy()
-    if len(used):
-        sizes, need = used + 1, demand[used].astype(float)
-        basis = np.diag((capacity // sizes).astype(float))
-        inverse = np.diag(1 / np.diag(basis))
-        amount = inverse @ need
-        for _ in range(rounds):
-            duals = np.zeros(capacity)
-            duals[used] = inverse.sum(axis=0)
-            worth, pattern = _knapsack(np.maximum(duals, 0), capacity)
-            if worth <= 1 + 1e-7:
-                break
-            column = pattern[used].astype(float)
-            move = inverse @ column
-            able = move > 1e-9
-            ratio = np.where(able, amount / np.where(able, move, 1), np.inf)
-            out = int(np.argmin(ratio))
-            basis[:, out] = column
-            inverse[out] /= move[out]
-            others = np.arange(len(used)) != out
-            inverse[others] -= np.outer(move[others], inverse[out])
-            amount = inverse @ need
-        for j in range(len(used)):
-            times = int(np.floor(amount[j] + 1e-7))
+    if demand.any():
+        basis, _ = _priced(demand, rounds)
+        for j in range(len(basis.used)):
+            times = int(np.floor(basis.amount[j] + 1e-7))
             pattern = np.zeros(capacity, np.int64)
-            pattern[used] = basis[:, j].astype(np.int64)
+            pattern[basis.used] = basis.columns[:, j].astype(np.int64)
             over = pattern > 0
             times = min(times, int((left[over] // pattern[over]).min())) if over.any() else 0
             if times > 0:
