@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import math
 import random
 import zlib
 from collections import defaultdict
@@ -12,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from marquee.llm import decontam, langid, packing, quality, simhash, tokencount, toxicity
-from marquee.llm.common import connected_components, fold
+from marquee.llm.common import Marks, connected_components, fold
 from marquee.llm.queries import tokenizer_path
 from tests.llm.conftest import ODD
 
@@ -177,7 +178,7 @@ def test_no_count_is_left_out(spark, make):
     rows = [(i, " ".join(rng.choices(clean, k=12) + (["scumbag", "wretch"] if i % 4 == 0 else [])), "en") for i in range(300)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
     scores = []
-    for block in (50_000, 2):
+    for block in (2_000_000, 2):
         model = toxicity.learn(make(rows), labels, F.col("doc_id") < 250, block_words=block)
         scores.append({r["doc_id"]: r["score"] for r in toxicity.score(make(rows), model).collect()})
     assert model.blocks > 1 and scores[0] == scores[1] and len(set(scores[0].values())) > 1
@@ -188,9 +189,84 @@ def test_every_learning_row_counts(spark, make):
     texts = [passage + f"then page {i} goes its own way {i * 7} entirely" for i in range(20)] + ["equal text with two labels"] * 3
     docs = make([(i, t, "en") for i, t in enumerate(texts)])
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(23)], "doc_id long, toxic int")
-    rows = toxicity.halved(toxicity.labelled(docs, labels, F.lit(True), "toxic")).collect()
+    train = Marks(docs, labels.withColumnRenamed("toxic", "y"), "doc_id", F.lit(True))
+    rows = [r for runs in train.passes for r in train.read(runs).collect()]
     assert sorted((r["text"], r["y"]) for r in rows) == sorted((t, int(i % 5 == 0)) for i, t in enumerate(texts))
-    assert len({r["half"] for r in rows if r["text"] == texts[-1]}) == 1
+    assert len({toxicity.half_of(r["text"]) for r in rows if r["text"] == texts[-1]}) == 1
+
+
+def test_marks_meet_rows_where_they_are_read(spark, tmp_path):
+    rng = random.Random(8)
+    rows = [(rng.choice([None, i, i, i % 50]), f"text {i}", i % 9, i) for i in range(1500)]
+    path = f"{tmp_path}/docs.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string, y int, has long").repartition(4).write.parquet(path)
+    docs = spark.read.parquet(path)
+    marks = spark.createDataFrame([(i, i % 3 - 1) for i in range(0, 1500, 2)], "doc_id long, y int")
+    want = sorted((t, int(i % 3 - 1 > 0)) for i, t, _, _ in rows if i is not None and i % 2 == 0 and i < 1400)
+    for entries in (1_000_000, 9, 1):
+        train = Marks(docs, marks, "doc_id", F.col("doc_id") < 1400, entries)
+        found = [train.read(runs) for runs in train.passes]
+        assert all(f.columns == ["doc_id", "text", "has", "y"] for f in found)
+        assert sorted((r["text"], r["y"]) for f in found for r in f.collect()) == want
+        assert (len(found) == 1) == (entries > 9)
+        assert not any("Exchange hashpartitioning" in f._jdf.queryExecution().executedPlan().toString() for f in found)
+    assert Marks(docs, marks.limit(0), "doc_id", F.lit(True)).passes == []
+
+
+def test_evidence_counts_equal_a_plain_recount(spark, make):
+    rng = random.Random(6)
+    clean = "the and house with tree river stone bread water light".split()
+    rows = [(i, " ".join(rng.choices(clean, k=12) + (["scumbag", "wretch"] if i % 4 == 0 else ["tr33"])), "en") for i in range(300)]
+    docs, labels = make(rows), spark.createDataFrame([(i, int(i % 4 == 0)) for i in range(300)], "doc_id long, toxic int")
+    model = toxicity.learn(docs, labels, F.col("doc_id") < 250)
+    seen, n = {}, [0] * 4
+    for i, text, _ in rows[:250]:
+        group = 2 * toxicity.half_of(text) + (i % 4 == 0)
+        n[group] += 1
+        for w in model.restorer.words(text):
+            seen.setdefault(w, [0] * 4)[group] += 1
+
+    def ratio(pos, neg, n_pos, n_neg):
+        return math.log((pos + 0.5) / (n_pos + 1)) - math.log((neg + 0.5) / (n_neg + 1))
+
+    want = {}
+    for w, (a, b, c, d) in seen.items():
+        holds = [b >= 2 and ratio(b, a, n[1], n[0]) > 1, d >= 2 and ratio(d, c, n[3], n[2]) > 1]
+        weight = ratio(b + d, a + c, n[1] + n[3], n[0] + n[2])
+        if b + d >= 6 and any(holds) and weight > 1:
+            want[xxhash.xxh64_intdigest(w.encode(), 42)] = (round(weight, 9), holds[1] + 2 * holds[0] + 4 * all(holds))
+    got = {r["h"] % (1 << 64): (round(r["w"], 9), r["views"]) for r in model.evidence.collect()}
+    assert got == want and len(got) > 2
+
+
+def test_restored_word_is_the_cheapest_of_all_readings(spark):
+    """The Viterbi path against every reading of short runs."""
+    words = "idiot loser trash moron stupid the and house".split()
+    docs = spark.createDataFrame([(" ".join(words),)] * 20, "text string")
+    model = toxicity.char_model(toxicity.char_counts(docs))
+
+    def every(run):
+        def go(i, a, b, raw, cost, out):
+            if i == len(run):
+                yield cost + model.cost(a, b, " "), out
+                return
+            ch = run[i]
+            options = [(c, toxicity.SUBSTITUTE) for c in toxicity.LEET.get(ch, "")] + [(ch, 0.0)] * ch.isalpha()
+            tripled = i + 1 < len(run) and run[i + 1] == ch or i > 1 and run[i - 2] == ch
+            for c, price in options:
+                yield from go(i + 1, b, c, ch, cost + price + model.cost(a, b, c), out + c)
+            if ch in toxicity.SEPARATORS:
+                yield from go(i + 1, a, b, raw, cost + toxicity.DROP, out)
+            elif not options:
+                yield from go(i + 1, a, b, raw, cost, out)
+            if ch == raw and options:
+                yield from go(i + 1, a, b, raw, cost + (toxicity.REPEAT if tripled else toxicity.PAIR), out)
+        found = list(go(0, " ", " ", "", 0.0, ""))
+        best = min(c for c, _ in found)
+        return {o for c, o in found if c < best + 1e-9}
+
+    for run in ["1d10t", "l-os*r", "mooor0n", "$tup1d", "7r@$h", "a++", "i|i", "66g", "-", "5s5s", "t.h.3"]:
+        assert toxicity.restore(run, model) in every(run), run
 
 
 def test_quality_held_out(spark, make):
@@ -256,7 +332,14 @@ def test_cutting_plan_covers_demand_near_the_bound():
     plan = packing.cutting_plan(demand)
     assert (sum(p * n for p, n in plan) == demand).all()
     assert all(p @ np.arange(1, 65) <= 64 for p, _ in plan)
-    assert sum(n for _, n in plan) <= 1.02 * (demand @ np.arange(1, 65)) / 64 + 3  # the area bound
+    # What the program's own duals bound from below, by linear programming
+    # duality: no pattern is worth more than 1 under them.
+    duals = packing.pattern_duals(demand)
+    worth, _ = packing._knapsack(duals, 64)
+    assert worth <= 1 + 1e-6 and (duals >= 0).all()
+    bound = float(demand @ duals) / max(1.0, worth)
+    rounded = len(np.flatnonzero(demand))  # a pattern in the basis for each size
+    assert bound - 1e-6 <= sum(n for _, n in plan) <= bound + rounded
 
 
 def test_trie_counts_equal_plain_dynamic_programming(make):
