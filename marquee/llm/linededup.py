@@ -16,9 +16,10 @@ Candidates are verified by banded bit-parallel edit distance: per level of
 edits, one word holds which of the 2 threshold + 1 diagonals are reachable.
 
 Lines of one component form a class; of a class, the first occurrence (smallest
-doc_id, then place) stays. Line ids are given when the table of different lines
-is written, so ids do not collide; occurrences find their line by 96 bits of
-hash.
+doc_id, then place) stays; it is found among the lines, each of which knows its
+own first. Line ids are given when the table of different lines is written, so
+ids do not collide; occurrences find their line by 96 bits of hash, and only
+lines that occur again or link are looked up.
 
 Defined cases: null or empty texts have no lines; lines shorter than their
 segments work as any (empty segments agree); a null id sorts first; rows that
@@ -29,49 +30,57 @@ read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from .common import connected_components, written
 
 BLANKS = " \t\x0b\x0c\r"
 
 
-def _sub(c: Column, start: Column, n: Column) -> Column:
-    """``n`` code points from ``start`` (from 0)."""
-    return F.substr(c, (start + 1).cast("int"), n.cast("int"))
+def shared_places(threshold: int) -> list[tuple[int, int, int]]:
+    """(less, number, shift): where lines of a length and of ``less`` below it may
+    share segment ``number`` of the shorter one."""
+    return [(less, k, shift) for less in range(threshold + 1) for k in range(threshold + 1)
+            for shift in range(max(-k, less - (threshold - k)), min(k, less + threshold - k) + 1)]
 
 
-def _segment(n: Column, k: int, threshold: int) -> tuple[Column, Column]:
-    """Start and length of segment ``k`` of a line of ``n`` code points."""
+def entries(lines: DataFrame, places: list[tuple[int, int, int]], threshold: int) -> DataFrame:
+    """(id, key, x, y, shorter) for the lines (id, line, n): the key of the text
+    that a line shows at a place to lines of ``n - less`` points, and hashes of two
+    halves of the rest (0 above threshold 1). Places come as rows, so that one
+    short expression serves them all: spelt out for each, the generated code is
+    too long for the JVM to compile, and four times as slow."""
     parts = threshold + 1
-    base, more = F.floor(n / parts), n % parts
-    longer = F.lit(k) - (F.lit(parts) - more)  # the last ``more`` segments are one longer
-    return base * k + F.greatest(F.lit(0), longer), base + F.when(longer >= 0, 1).otherwise(0)
-
-
-def _entry(line: Column, n: Column, less: int, k: int, shift: int, threshold: int) -> Column:
-    """Key of the text that a line of ``n`` points shows to lines of ``n - less``
-    as their segment ``k`` moved by ``shift``, and hashes of two halves of the
-    rest (used at threshold 1)."""
-    size = n - less
-    start, length = _segment(size, k, threshold)
-    fits = (size >= 0) & (start + shift >= 0) & (start + shift + length <= n)
-    key = F.xxhash64(size, F.lit(k), _sub(line, start + shift, length))
+    rows = F.array(*[F.struct(*[F.lit(v).alias(c) for c, v in zip(("less", "k", "shift"), p, strict=True)]) for p in places])
+    shown = (lines.select("id", "line", "n", F.explode(rows).alias("p"))
+             .select("id", "line", "n", "p.*", (F.col("n") - F.col("p.less")).alias("size")).where("size >= 0")
+             # The last ``size % parts`` segments are one longer.
+             .withColumn("longer", F.col("k") - (parts - F.col("size") % parts))
+             .withColumn("base", F.expr(f"cast(size div {parts} as int)"))
+             .withColumn("start", F.col("base") * F.col("k") + F.greatest(F.lit(0), "longer") + F.col("shift"))
+             .withColumn("length", F.col("base") + (F.col("longer") >= 0).cast("int"))
+             .where("start >= 0 and start + length <= n"))
+
+    def sub(start: Column, n: Column) -> Column:
+        return F.substr("line", start + 1, n)
+
+    key = F.xxhash64("size", "k", sub(F.col("start"), F.col("length")))
+    x = y = F.lit(0)
     if threshold == 1:
-        rest = size - length
-        first, second = F.floor(rest / 2), rest - F.floor(rest / 2)
-        if k == 0:  # the rest stands behind
-            x, y = _sub(line, start + length, first), _sub(line, n - second, second)
-        else:  # before
-            x, y = _sub(line, F.lit(0), first), _sub(line, rest + less - second, second)
-        x, y = F.hash(x), F.hash(y)
-    else:
-        x = y = F.lit(0)
-    return F.when(fits, F.struct(key.alias("key"), x.alias("x"), y.alias("y"), F.lit(less > 0).alias("shorter")))
+        # The rest stands behind segment 0 and before segment 1.
+        rest = F.col("size") - F.col("length")
+        first = F.expr("cast((size - length) div 2 as int)")
+        second = rest - first
+        head = F.col("k") == 0
+        x = F.hash(sub(F.when(head, F.col("start") + F.col("length")).otherwise(0), first))
+        y = F.hash(sub(F.when(head, F.col("n") - second).otherwise(rest + F.col("less") - second), second))
+    return shown.select("id", key.alias("key"), x.alias("x"), y.alias("y"), (F.col("less") > 0).alias("shorter"))
 
 
 def _if_equal(bit: int):
@@ -112,14 +121,10 @@ def within(a: Column, b: Column, threshold: int) -> Column:
 
 def similar_lines(lines: DataFrame, threshold: int) -> DataFrame:
     """Links (a, b) among different lines (id, line, n)."""
-    line, n = F.col("line"), F.col("n")
-    own = [_entry(line, n, 0, k, 0, threshold) for k in range(threshold + 1)]
-    seen = [_entry(line, n, less, k, shift, threshold)
-            for less in range(threshold + 1) for k in range(threshold + 1)
-            for shift in range(max(-k, less - (threshold - k)), min(k, less + threshold - k) + 1)]
-    index = lines.select(F.col("id").alias("a"), F.explode(F.array(*own)).alias("e")).select("a", "e.key", "e.x", "e.y")
-    probe = (lines.select(F.col("id").alias("b"), F.explode(F.array(*seen)).alias("f")).where("f is not null")
-             .select("b", "f.key", F.col("f.x").alias("u"), F.col("f.y").alias("v"), "f.shorter"))
+    places = shared_places(threshold)
+    own = [p for p in places if p[0] == p[2] == 0]
+    index = entries(lines, own, threshold).select(F.col("id").alias("a"), "key", "x", "y")
+    probe = entries(lines, places, threshold).select(F.col("id").alias("b"), "key", F.col("x").alias("u"), F.col("y").alias("v"), "shorter")
     met = index.join(probe, (index.key == probe.key) & (F.col("shorter") | (F.col("a") < F.col("b")))
                      & ((F.col("x") == F.col("u")) | (F.col("y") == F.col("v"))))
     pairs = met.select("a", "b").distinct()
@@ -137,20 +142,40 @@ def line_dedup(docs: DataFrame, threshold: int = 1, id_col: str = "doc_id", text
     found = (docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
              .where(F.translate("line", BLANKS, "") != ""))
     hashed = [F.xxhash64("line").alias("h"), F.hash("line").alias("g")]
-    lines = written(found.groupBy("line").agg(F.count("*").alias("times"))
-                    .select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), *hashed), "lines")
-    links = written(similar_lines(lines, threshold), "line-links")
+    place, doc_of = _place(found)
+    lines = written(found.select("line", place.alias("place")).groupBy("line").agg(F.count("*").alias("times"), F.min("place").alias("place"))
+                    .select(F.monotonically_increasing_id().alias("id"), "line", F.length("line").alias("n"), "times", "place", *hashed), "lines")
+    links = written(similar_lines(lines.select("id", "line", "n"), threshold), "line-links")
     ends = links.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count("*").alias("links"))
     roots = connected_components(links)
-    named = (lines.select("id", "h", "g").join(ends, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-             .select("h", "g", F.coalesce("root", "id").alias("class"), F.coalesce("links", F.lit(0)).alias("links")))
-    placed = written(found.select("doc", "at", *hashed).join(named, ["h", "g"]).select("doc", "at", "class", "links"), "line-places")
-    first = (placed.groupBy("class").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("times"))
-             .where("times > 1").select("class", "first"))
-    marked = placed.join(first, "class", "left")
-    dropped = F.col("first").isNotNull() & ~F.struct("doc", "at").eqNullSafe(F.col("first"))
-    return (marked.groupBy("doc").agg(
-        F.count("*").alias("n_lines"), F.count_if(F.col("links") > 0).alias("n_linked"), F.sum("links").alias("n_links"),
+    named = (lines.select("id", "h", "g", "times", "place").join(ends, "id", "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
+             .select("id", "h", "g", "times", "place", "root", F.coalesce("links", F.lit(0)).alias("links")))
+    # The first occurrence of a class, among its lines; a line alone is its class.
+    linked = named.where("links > 0").withColumn("class", F.coalesce("root", "id"))
+    first = linked.groupBy("class").agg(F.min("place").alias("first"), F.sum("times").alias("all"))
+    marks = (linked.join(first, "class").select("h", "g", "links", "first", "all")
+             .unionByName(named.where("links = 0").select("h", "g", "links", F.col("place").alias("first"), F.col("times").alias("all"))))
+    marks = written(marks.where("all > 1"), "line-marks").drop("all")
+    placed = found.select("doc", place.alias("place"), *hashed).join(marks, ["h", "g"], "left")
+    dropped = F.col("first").isNotNull() & (F.col("place") != F.col("first"))
+    return (placed.groupBy("doc").agg(
+        F.count("*").alias("n_lines"), F.count_if(F.col("links") > 0).alias("n_linked"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links"),
         F.count_if(dropped).alias("n_dropped"),
-        F.sort_array(F.collect_set(F.when(dropped, F.col("first.doc")))).alias("first_docs"))
+        F.sort_array(F.collect_set(F.when(dropped, doc_of(F.col("first"))))).alias("first_docs"))
         .withColumnRenamed("doc", id_col))
+
+
+def _place(found: DataFrame) -> tuple[Column, Callable[[Column], Column]]:
+    """An occurrence's place in the order of (doc, at), nulls first, and how to
+    read the document off it. Of whole-number ids it is one number, of which a
+    minimum is kept in place while rows are hashed."""
+    if not isinstance(found.schema["doc"].dataType, IntegralType):
+        return F.struct("doc", "at"), lambda p: p["doc"]
+    low, lines = (F.lit(str(1 << b)).cast("decimal(20,0)") for b in (63, 31))
+    place = F.coalesce(F.col("doc").cast("decimal(19,0)") + low + 1, F.lit(0).cast("decimal(21,0)")) * lines + F.col("at")
+
+    def doc(p: Column) -> Column:
+        number = F.floor(p / lines) - low - 1
+        return F.when(p >= lines, number.cast(found.schema["doc"].dataType))
+
+    return place.cast("decimal(38,0)"), doc
