@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marquee.llm import decontam, exactdedup, langid, packing, simhash
-from marquee.llm.common import fold, free_name, keyed, table, written
+from marquee.llm.common import Rows, fold, free_name, table, written
 from marquee.llm.queries import PACK_TOKENIZER, tokenizer_path
 
 
@@ -55,23 +55,23 @@ def _first_of_groups(docs: DataFrame, found: DataFrame, row: str, group: str, na
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of every group of equal texts: the most code points, then
     the smallest id."""
-    docs, row = keyed(docs)
+    rows = Rows(docs)
     points = F.length(F.coalesce(F.col("text"), F.lit("")))
-    return _first_of_groups(docs, exactdedup.exact_dedup(docs, id_col=row), row, "keep_id", "exact", -points)
+    return _first_of_groups(rows.frame(), exactdedup.exact_dedup(rows, id_col=rows.name), rows.name, "keep_id", "exact", -points)
 
 
 def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one row of every component: the smallest id."""
-    docs, row = keyed(docs)
-    found = simhash.near_dedup(docs, shingle=4, radius=4, id_col=row)
-    return _first_of_groups(docs, found, row, "component_id", "simhash")
+    rows = Rows(docs)
+    found = simhash.near_dedup(rows.frame(), shingle=4, radius=4, id_col=rows.name)
+    return _first_of_groups(rows.frame(), found, rows.name, "component_id", "simhash")
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows with a word inside an occurrence of a benchmark window."""
-    docs, row = keyed(docs)
-    found = decontam.digest(decontam.find_leaks(docs, table(spark, sf_dir, "benchmark"), id_col=row))
-    return _without(docs, found.where("contaminated").select(row), row, "leaks")
+    rows = Rows(docs)
+    found = decontam.digest(decontam.find_leaks(rows.frame(), table(spark, sf_dir, "benchmark"), id_col=rows.name))
+    return _without(rows.frame(), found.where("contaminated").select(rows.name), rows.name, "leaks")
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

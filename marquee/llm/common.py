@@ -136,30 +136,31 @@ def free_name(docs: DataFrame, name: str) -> str:
     return name
 
 
-def scanned_files(docs: DataFrame, name: str = "rows") -> tuple[DataFrame, list[str]]:
-    """``docs`` as a plain scan of files (written first if it is none), and the
-    paths in order: as many as the driver lists to plan the scan."""
-    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
-        docs = written(docs, name)
-    return docs, sorted(r[0] for r in docs.select(docs.metadataColumn("_metadata")["file_path"]).distinct().collect())
-
-
-def keyed(docs: DataFrame, paths: list[str] | None = None, only: range | None = None) -> tuple[DataFrame, str]:
-    """``docs`` with a key (long, never null) for every row, and the key's name.
-    The key is the number of the file, in order of the paths, and the row's
-    place in it, so every scan gives a row the same key. ``only`` reads the files
-    of these numbers alone."""
-    if paths is None:
-        docs, paths = scanned_files(docs)
-    name = free_name(docs, "_row")
-    place = docs.metadataColumn("_metadata")
-    numbers = range(len(paths)) if only is None else only
-    files = docs.sparkSession.createDataFrame([(paths[i], i << FILE_ROW_BITS) for i in numbers], f"{name}path string, {name}base long")
-    placed = docs.select("*", place["file_path"].alias(f"{name}file"), place["row_index"].alias(f"{name}at"))
-    if only is not None:
-        placed = placed.where(place["file_path"].isin([paths[i] for i in numbers]))
-    joined = placed.join(F.broadcast(files), placed[f"{name}file"] == files[f"{name}path"])
-    return joined.select(*[docs[c] for c in docs.columns], (F.col(f"{name}base") + F.col(f"{name}at")).alias(name)), name
+class Rows:
+    """A table with a key (long, never null) for every row: the number of the
+    file, in order of the paths, and the row's place in it, so every scan gives a
+    row the same key. What is not a plain scan of files is written first."""
+
+    def __init__(self, docs: DataFrame):
+        if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() != "LogicalRelation":
+            docs = written(docs, "rows")
+        self.docs = docs
+        #: The key's column.
+        self.name = free_name(docs, "_row")
+        # As many as the driver lists to plan the scan.
+        self.paths = sorted(r[0] for r in docs.select(docs.metadataColumn("_metadata")["file_path"]).distinct().collect())
+
+    def frame(self, only: range | None = None) -> DataFrame:
+        """The table with its keys; of the files of these numbers alone."""
+        docs, name = self.docs, self.name
+        place = docs.metadataColumn("_metadata")
+        numbers = range(len(self.paths)) if only is None else only
+        files = docs.sparkSession.createDataFrame([(self.paths[i], i << FILE_ROW_BITS) for i in numbers], f"{name}path string, {name}base long")
+        placed = docs.select("*", place["file_path"].alias(f"{name}file"), place["row_index"].alias(f"{name}at"))
+        if only is not None:
+            placed = placed.where(place["file_path"].isin([self.paths[i] for i in numbers]))
+        joined = placed.join(F.broadcast(files), placed[f"{name}file"] == files[f"{name}path"])
+        return joined.select(*[docs[c] for c in docs.columns], (F.col(f"{name}base") + F.col(f"{name}at")).alias(name))
 
 
 #: 2^this rows share an entry of ``Marks``; a file has 2^that of them at most.
@@ -170,21 +171,19 @@ class Marks:
     """A 0/1 mark for some rows of a table, which meets the rows where they are
     read: no other column of the table is shuffled.
 
-    Ids meet marks on narrow rows (row key, id). What comes out is, per 64 rows of
-    a file, two words of 64 bits: which rows have a mark, and which mark. These
-    entries are dealt to passes of ``entries`` at most (24 bytes each; a pass
-    broadcasts its own) by runs of files. A pass reads only its files, so all
-    passes together read the table once; only a file of more entries than that is
-    read by several.
+    Row keys and marks become, per 64 rows of a file, two words of 64 bits: which
+    rows have a mark, and which mark. These entries are dealt to passes of
+    ``entries`` at most (24 bytes each; a pass broadcasts its own) by runs of
+    files. A pass reads only its files, so all passes together read the table
+    once; only a file of more entries than that is read by several.
     """
 
-    def __init__(self, docs: DataFrame, marks: DataFrame, id_col: str, use: Column, entries: int = 1_000_000):
-        """``marks``: (id_col, y), an id once at most; ``use`` is over the id."""
-        self.docs, self.paths = scanned_files(docs)
-        rows, row = keyed(self.docs, self.paths)
-        met = rows.where(use).select(id_col, row).join(marks, id_col)
+    def __init__(self, rows: Rows, marked: DataFrame, entries: int = 1_000_000):
+        """``marked``: (row key, y), a key once at most."""
+        self.rows = rows
+        row = rows.name
         bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col(row).bitwiseAND(F.lit(63).cast("long")).cast("int"))
-        self.bits = written(met.groupBy(F.shiftright(row, _ENTRY_BITS).alias("run"))
+        self.bits = written(marked.groupBy(F.shiftright(row, _ENTRY_BITS).alias("run"))
                             .agg(F.bit_or(bit).alias("has"), F.coalesce(F.bit_or(F.when(F.col("y") > 0, bit)), F.lit(0).cast("long")).alias("yes")), "marks")
         sizes = (self.bits.groupBy(F.shiftright("run", _FILE_BITS).alias("file")).agg(F.count("*").alias("n"), F.max("run").alias("last"))
                  .orderBy("file").collect())  # a row a file
@@ -199,11 +198,20 @@ class Marks:
                 self.passes += [range(r, min(r + entries, last + 1)) for r in range(first, last + 1, entries)]
                 held = n if n <= entries else entries
 
+    @classmethod
+    def by_id(cls, docs: DataFrame, marks: DataFrame, id_col: str, use: Column, entries: int = 1_000_000) -> Marks:
+        """Marks (id_col, y), an id once at most, for the rows of ``docs`` where
+        ``use`` (over the id) holds; ids meet marks on narrow rows."""
+        rows = Rows(docs)
+        return cls(rows, rows.frame().where(use).select(id_col, rows.name).join(marks, id_col).select(rows.name, "y"), entries)
+
     def read(self, runs: range) -> DataFrame:
-        """The rows of a pass that have a mark: the table's columns, and y."""
-        rows, row = keyed(self.docs, self.paths, range(runs.start >> _FILE_BITS, (runs.stop - 1 >> _FILE_BITS) + 1))
+        """The rows of a pass that have a mark: the table's columns, the row key,
+        and y (instead of a column of that name)."""
+        row = self.rows.name
+        rows = self.rows.frame(range(runs.start >> _FILE_BITS, (runs.stop - 1 >> _FILE_BITS) + 1))
         run, has, yes = (free_name(rows, f"_{n}") for n in ("run", "has", "yes"))
         here = F.broadcast(self.bits.where((F.col("run") >= runs.start) & (F.col("run") < runs.stop)).toDF(run, has, yes))
         at = F.col(row).bitwiseAND(F.lit(63).cast("long")).cast("int")
         met = rows.join(here, F.shiftright(row, _ENTRY_BITS) == F.col(run)).where(F.getbit(F.col(has), at) == 1)
-        return met.select(*[rows[c] for c in self.docs.columns if c != "y"], F.getbit(F.col(yes), at).cast("int").alias("y"))
+        return met.select(*[rows[c] for c in rows.columns if c != "y"], F.getbit(F.col(yes), at).cast("int").alias("y"))

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from marquee.llm import exactdedup, linededup
+from marquee.llm.common import Rows
 from tests.llm.conftest import ODD
 
 BLANK = str.maketrans("", "", " \t\n\x0b\x0c\r")
@@ -42,6 +43,49 @@ def test_directory_splits_overfull_buckets(spark):
     assert held[0] <= 100 and held[1] == 4096
 
 
+def test_lookup_goes_through_directory_and_chain(make):
+    """Nothing is found without the directory, and no chain without its texts."""
+    rng = random.Random(3)
+    data = [(100 + i, " ".join(rng.choices(["a", "b ", "c"], k=rng.randint(1, 3))), "en") for i in range(150)]
+    rows = Rows(make(data))
+    members = exactdedup._members(rows, "doc_id", "text", 5)
+    index = exactdedup.build(rows, members, "doc_id", "text", 2, 5, 1_000_000)
+    entries = index.entries.collect()
+    by_key = defaultdict(list)
+    for e in entries:
+        by_key[e["bucket"], e["key"]].append(e)
+    assert max(map(len, by_key.values())) > 1 and len({b for b, _ in by_key}) > 1
+    for chain in by_key.values():
+        assert [e["chain"] for e in sorted(chain, key=lambda e: e["chain"])] == list(range(1, len(chain) + 1))
+        assert all(e["length"] == len(chain) and (e["text"] is not None) == (len(chain) > 1) for e in chain)
+
+    def found(i):
+        return exactdedup.lookup(i, rows, members, "doc_id", "text", 1_000_000).where("size > 1").count()
+
+    whole = found(index)
+    copies = defaultdict(int)
+    for _, t, _ in data:
+        copies[t.translate(BLANK)] += 1
+    assert whole == sum(n for n in copies.values() if n > 1)
+    first = min(b for b, _ in by_key)
+    moved = F.when(F.col("bucket") == first, -1).otherwise(F.col("bucket")).cast("long")
+    lost = found(exactdedup.Index(index.cells.withColumn("bucket", moved), index.bits, index.entries, index.key_bits))
+    assert 0 < lost < whole
+    assert found(exactdedup.Index(index.cells.withColumn("bucket", F.lit(-1).cast("long")), index.bits, index.entries, index.key_bits)) == 0
+    unchained = index.entries.withColumn("text", F.lit("?"))
+    assert 0 < found(exactdedup.Index(index.cells, index.bits, unchained, index.key_bits)) < whole
+
+
+def test_only_texts_with_a_shared_key_move(spark, tmp_path):
+    path = f"{tmp_path}/docs.parquet"
+    rows = [(i, f"text {i if i % 5 else 0}", "en") for i in range(600)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5).write.parquet(path)
+    docs = spark.read.parquet(path)
+    got = exactdedup.exact_dedup(docs, entries=2)
+    assert sorted(map(tuple, got.collect()), key=str) == brute_exact(rows)
+    assert "text#" not in "".join(x for x in got._jdf.queryExecution().executedPlan().toString().splitlines() if "Exchange" in x)
+
+
 def test_empty_tables(make):
     assert exactdedup.exact_dedup(make([])).count() == 0
     assert linededup.line_dedup(make([])).count() == 0

@@ -189,7 +189,7 @@ def test_every_learning_row_counts(spark, make):
     texts = [passage + f"then page {i} goes its own way {i * 7} entirely" for i in range(20)] + ["equal text with two labels"] * 3
     docs = make([(i, t, "en") for i, t in enumerate(texts)])
     labels = spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(23)], "doc_id long, toxic int")
-    train = Marks(docs, labels.withColumnRenamed("toxic", "y"), "doc_id", F.lit(True))
+    train = Marks.by_id(docs, labels.withColumnRenamed("toxic", "y"), "doc_id", F.lit(True))
     rows = [r for runs in train.passes for r in train.read(runs).collect()]
     assert sorted((r["text"], r["y"]) for r in rows) == sorted((t, int(i % 5 == 0)) for i, t in enumerate(texts))
     assert len({toxicity.half_of(r["text"]) for r in rows if r["text"] == texts[-1]}) == 1
@@ -204,13 +204,13 @@ def test_marks_meet_rows_where_they_are_read(spark, tmp_path):
     marks = spark.createDataFrame([(i, i % 3 - 1) for i in range(0, 1500, 2)], "doc_id long, y int")
     want = sorted((t, int(i % 3 - 1 > 0)) for i, t, _, _ in rows if i is not None and i % 2 == 0 and i < 1400)
     for entries in (1_000_000, 9, 1):
-        train = Marks(docs, marks, "doc_id", F.col("doc_id") < 1400, entries)
+        train = Marks.by_id(docs, marks, "doc_id", F.col("doc_id") < 1400, entries)
         found = [train.read(runs) for runs in train.passes]
-        assert all(f.columns == ["doc_id", "text", "has", "y"] for f in found)
+        assert all(f.columns == ["doc_id", "text", "has", "_row", "y"] for f in found)
         assert sorted((r["text"], r["y"]) for f in found for r in f.collect()) == want
         assert (len(found) == 1) == (entries > 9)
         assert not any("Exchange hashpartitioning" in f._jdf.queryExecution().executedPlan().toString() for f in found)
-    assert Marks(docs, marks.limit(0), "doc_id", F.lit(True)).passes == []
+    assert Marks.by_id(docs, marks.limit(0), "doc_id", F.lit(True)).passes == []
 
 
 def test_evidence_counts_equal_a_plain_recount(spark, make):
