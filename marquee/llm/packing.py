@@ -55,8 +55,8 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Recent(self.word)
-        self.parts = Recent(self.part)
+        self.words = Recent(self.word, 24 << 20)
+        self.parts = Recent(self.part, 32 << 20)
         self.model = self.tokenizer.model
         self.mapped = str.maketrans(_byte_letters())
 
