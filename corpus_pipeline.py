@@ -70,7 +70,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops rows with a word inside an occurrence of a benchmark window."""
     rows = Rows(docs)
-    found = decontam.digest(decontam.find_leaks(rows.frame(), table(spark, sf_dir, "benchmark"), id_col=rows.name))
+    found = decontam.digest(decontam.find_leaks(rows, table(spark, sf_dir, "benchmark"), id_col=rows.name))
     return _without(rows.frame(), found.where("contaminated").select(rows.name), rows.name, "leaks")
 
 

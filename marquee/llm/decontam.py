@@ -10,8 +10,10 @@ word, and a direct comparison of the words confirms an occurrence.
 
 The search runs in one pass over the documents, without a shuffle. The texts of
 the items reach the executors in blocks of ``block_bytes`` at most (plus one
-item); a larger benchmark takes as many passes over the same rows, each adding
-its finds. The tables are built on the executors.
+item). A larger benchmark takes as many passes over the same texts, one after the
+other: each writes the finds of its block by row key and lets the block go, so a
+worker never holds two; then the finds of a row meet. The tables are built on the
+executors.
 
 Defined cases: null or wordless texts have no words and no hits; null or empty
 items have no window; a null item id is reported as the empty string; items
@@ -29,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import python_batches
+from .common import Rows, python_batches, scratch
 
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -100,52 +102,80 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 _built: dict[str, list[WuManber]] = {}
 
 
-def _search(items, token: str, window: int, last: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def _search(items, token: str, window: int, all_rows: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Finds of a block's items per row; of ``all_rows`` or of those with finds."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         if token not in _built:
             _built.clear()
             _built[token] = tables_of(items.value, window)
         tables = _built[token]
         for batch in batches:
-            n_words, starts, ends, found = [], [], [], []
-            for text, s, e, before in zip(batch["text"], batch["starts"], batch["ends"], batch["items"], strict=True):
+            kept, n_words, starts, ends, found = [], [], [], [], []
+            for i, text in enumerate(batch["text"]):
                 words = words_of(text)
-                spans, hit = list(zip(s, e, strict=True)), set(before)
+                spans, hit = [], set()
                 for t in tables:
                     for start, ids in t.find(words):
                         spans.append((start, start + t.length))
                         hit |= ids
-                spans = merged(spans)
-                n_words.append(len(words))
-                starts.append([int(a) for a, _ in spans])
-                ends.append([int(b) for _, b in spans])
-                found.append(sorted(hit))
-            out = pd.DataFrame({"id": batch["id"], "n_words": n_words, "starts": starts, "ends": ends, "items": found})
-            yield out if last else out.assign(text=batch["text"])
+                if all_rows or spans:
+                    spans = merged(spans)
+                    kept.append(i)
+                    n_words.append(len(words))
+                    starts.append([a for a, _ in spans])
+                    ends.append([b for _, b in spans])
+                    found.append(sorted(hit))
+            lists = {c: pd.Series(v, dtype=object) for c, v in (("starts", starts), ("ends", ends), ("items", found))}
+            yield batch.drop(columns="text").iloc[kept].reset_index(drop=True).assign(n_words=pd.Series(n_words, dtype="int64"), **lists)
     return run
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+_FINDS = "n_words long, starts array<long>, ends array<long>, items array<string>"
+
+
+def find_leaks(docs: DataFrame | Rows, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                item_col: str = "item_id", item_text_col: str = "text", window: int = 10,
                block_bytes: int = 4 << 20) -> DataFrame:
     """One row per document: id, n_words, starts and ends (merged word spans
-    [start, end) inside occurrences), items (sorted ids as strings)."""
-    spark = docs.sparkSession
-    python_batches(spark)
+    [start, end) inside occurrences), items (sorted ids as strings). ``docs`` as
+    ``Rows`` may be asked for by row key."""
     tests = benchmark.select(F.coalesce(F.col(item_col).cast("string"), F.lit("")).alias("item"), F.col(item_text_col).alias("text")).where("text is not null")
     total = tests.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = total // block_bytes + 1
-    ints = F.array().cast("array<long>")
-    out = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.lit(0).cast("long").alias("n_words"),
-                      ints.alias("starts"), ints.alias("ends"), F.array().cast("array<string>").alias("items"))
-    schema = f"id {out.schema['id'].dataType.simpleString()}, n_words long, starts array<long>, ends array<long>, items array<string>"
-    for b in range(blocks):
+    spark = tests.sparkSession
+    python_batches(spark)
+
+    def search(b: int, all_rows: bool):
         part = tests.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == b)
-        items = [(r["item"], r["text"]) for r in part.toLocalIterator()]
-        last = b == blocks - 1
-        search = _search(spark.sparkContext.broadcast(items), uuid.uuid4().hex, window, last)
-        out = out.mapInPandas(search, schema if last else f"{schema}, text string")
-    return out.withColumnRenamed("id", id_col)
+        shared = spark.sparkContext.broadcast([(r["item"], r["text"]) for r in part.toLocalIterator()])
+        return shared, _search(shared, uuid.uuid4().hex, window, all_rows)
+
+    if blocks == 1:
+        frame = docs.frame() if isinstance(docs, Rows) else docs
+        out = frame.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        return out.mapInPandas(search(0, True)[1], f"id {out.schema['id'].dataType.simpleString()}, {_FINDS}").withColumnRenamed("id", id_col)
+
+    # One pass after the other over the texts, each with its block alone; they
+    # meet on the row keys.
+    rows = docs if isinstance(docs, Rows) else Rows(docs)
+    texts = rows.frame().select(F.col(id_col).alias("id"), F.col(rows.name).alias("row"), F.col(text_col).alias("text"))
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, row long, {_FINDS}"
+    path = scratch(spark, "leaks")
+    for b in range(blocks):
+        shared, run = search(b, b == 0)
+        texts.mapInPandas(run, schema).write.mode("append").parquet(path)
+        shared.destroy()
+
+    @F.pandas_udf("struct<starts: array<long>, ends: array<long>>")
+    def one(starts: pd.Series, ends: pd.Series) -> pd.DataFrame:
+        spans = [merged(list(zip(s, e, strict=True))) for s, e in zip(starts, ends, strict=True)]
+        return pd.DataFrame({"starts": [[int(a) for a, _ in x] for x in spans], "ends": [[int(b) for _, b in x] for x in spans]})
+
+    together = (spark.read.schema(schema).parquet(path).groupBy("row")
+                .agg(F.any_value("id", True).alias("id"), F.max("n_words").alias("n_words"),
+                     *[F.flatten(F.collect_list(c)).alias(c) for c in ("starts", "ends")], F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")))
+    spans = together.withColumn("spans", one("starts", "ends"))
+    return spans.select(F.col("id").alias(id_col), "n_words", "spans.starts", "spans.ends", "items")
 
 
 def digest(leaks: DataFrame) -> DataFrame:

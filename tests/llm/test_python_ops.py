@@ -392,3 +392,6 @@ def test_leaks_equal_brute_force(spark, make, block_bytes):
     assert by_id(got) == brute_leaks(rows, items, 4)
     assert decontam.find_leaks(make(rows), bench.limit(0)).where("size(items) > 0").count() == 0
     assert decontam.find_leaks(make([]), bench).count() == 0
+    # Whatever the benchmark's size, no stage runs the search more than once.
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInPandas") == (block_bytes > 1000)
