@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from marquee.config import EtlParams
 from marquee.functions import round_half_away, split_list
 from marquee.sinks import publish, write_table
+from marquee.sources.bucketed import open_bucketed, table_name, write_bucketed
 from marquee.sources.raw import RawSources
 
 TITLE_COLUMNS = [
@@ -299,6 +300,14 @@ def etl_row_counts(stages: EtlStages) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def selected(titles: DataFrame, p: EtlParams) -> DataFrame:
+    """``titles_clean``, read back, with its own filter said again. It keeps every
+    row; but the optimizer builds a Bloom filter of a join's keys, and applies it
+    at the scan of the large side, only where it sees that the small side is a
+    selection."""
+    return titles.where(F.col("numVotes") >= F.lit(p.min_votes))
+
+
 #: Range order of the written tables; the id splits a dominant type and year.
 GOLD_CLUSTERING = {
     "titles_clean": ["titleType", "startYear", "tconst"],
@@ -319,6 +328,7 @@ def run_etl(
     p: EtlParams,
     concurrent_writes: int = 5,
     partition_by_type: bool = False,
+    title_buckets: int | None = None,
 ) -> dict[str, str]:
     """Write the six gold tables under ``out_dir``; return their paths.
 
@@ -332,6 +342,10 @@ def run_etl(
     ``partition_by_type`` lays the title-keyed tables out in ``titleType=``
     folders. ``sources.read_gold`` restores the column order, which Spark
     changes for partition columns.
+
+    ``title_buckets``, for raw tables landed in as many buckets
+    (``sources.bucketed``), keeps a copy of the titles in buckets for the run, so
+    that the title joins shuffle neither side.
     """
     from concurrent.futures import ThreadPoolExecutor
 
@@ -346,10 +360,16 @@ def run_etl(
                     partition_by=["titleType"] if by_type else None)
 
     write("titles_clean", build_stages(raw, p).titles_clean)
-    titles = spark.read.parquet(f"{run}/titles_clean.parquet").select(*TITLE_COLUMNS)
+    titles = selected(spark.read.parquet(f"{run}/titles_clean.parquet").select(*TITLE_COLUMNS), p)
+    if title_buckets:
+        by_id = f"{run}/_titles_by_id"
+        write_bucketed(titles, by_id, "tconst", title_buckets)
+        titles = selected(open_bucketed(spark, by_id, "tconst", title_buckets).select(*TITLE_COLUMNS), p)
     gold = build_stages(raw, p, titles=titles).gold()
     with ThreadPoolExecutor(max_workers=max(1, concurrent_writes)) as pool:
         for fut in [pool.submit(write, name, gold[name]) for name in names[1:]]:
             fut.result()  # re-raise the first failure
+    if title_buckets:
+        spark.sql(f"DROP TABLE IF EXISTS {table_name(by_id)}")
     publish(spark, run, root, [f"{name}.parquet" for name in names])
     return {name: f"{root}/{name}.parquet" for name in names}
