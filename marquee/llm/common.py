@@ -5,7 +5,6 @@ from __future__ import annotations
 import re
 import uuid
 from collections.abc import Callable, Iterator
-from sys import getsizeof
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,10 +41,10 @@ def python_batches(spark: SparkSession) -> None:
 
 
 class Recent(dict):
-    """What ``make`` gives for a key, remembered by a worker. Memory is bounded
-    by bytes: when the entries since the last change of generation exceed
-    ``most``, they become the old generation and the old one goes; entries that
-    are asked for again move up."""
+    """What ``make`` gives for a text key, remembered by a worker. Memory is
+    bounded by bytes (about: a key, a value of its order, and their place): when
+    the entries since the last change of generation exceed ``most``, they become
+    the old generation and the old one goes; entries asked for again move up."""
 
     def __init__(self, make: Callable, most: int = 12 << 20):
         super().__init__()
@@ -53,7 +52,7 @@ class Recent(dict):
 
     def __missing__(self, key):
         value = self.old[key] if key in self.old else self.make(key)
-        self.size += getsizeof(key) + getsizeof(value) + 120  # and its place in the table
+        self.size += 220 + 3 * len(key)
         if self.size > self.most:
             self.old, self.size = dict(self), 0
             self.clear()
