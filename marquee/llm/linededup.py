@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 
-from .common import connected_components, written
+from .common import connected_components, if_small, written
 
 BLANKS = " \t\x0b\x0c\r"
 
@@ -127,8 +127,10 @@ def similar_lines(lines: DataFrame, threshold: int) -> DataFrame:
     probe = entries(lines, places, threshold).select(F.col("id").alias("b"), "key", F.col("x").alias("u"), F.col("y").alias("v"), "shorter")
     met = index.join(probe, (index.key == probe.key) & (F.col("shorter") | (F.col("a") < F.col("b")))
                      & ((F.col("x") == F.col("u")) | (F.col("y") == F.col("v"))))
-    pairs = met.select("a", "b").distinct()
-    texts = lines.select("id", "line")
+    pairs = written(met.select("a", "b").distinct(), "line-pairs")
+    # Only the lines of a pair are fetched, so that no other text is shuffled.
+    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
+    texts = written(lines.select("id", "line").join(if_small(ids), "id", "left_semi"), "line-texts")
     return (pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
             .where(within(F.col("left"), F.col("right"), threshold)).select("a", "b"))
