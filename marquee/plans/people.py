@@ -7,7 +7,7 @@ so a person credited twice on one title counts twice. ``name_col`` is
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marquee.functions import decade, reported_mean
@@ -56,16 +56,15 @@ def top_people_per_decade(people: DataFrame, name_col: str, n: int = 3) -> DataF
 def top_people_in_decade(people: DataFrame, name_col: str, n: int = 3, decade_value: int | None = None) -> DataFrame:
     """One decade of ``top_people_per_decade``; by default the latest decade.
 
-    The decade is fixed before anything is aggregated: the default is a one-row
-    max over the credits with a name.
+    A given decade is fixed before anything is aggregated. The latest one is read
+    off the per-decade ranking, in the same pass over the credits: the window over
+    all rows sees ``n`` rows a decade at most.
     """
-    credits = non_null_keys(people.withColumn("decade", decade("startYear")), ["decade", name_col])
     if decade_value is None:
-        latest = credits.agg(F.max("decade").alias("decade"))
-        chosen = credits.join(F.broadcast(latest), "decade", "left_semi")  # one row
-    else:
-        chosen = credits.where(F.col("decade") == F.lit(decade_value))
-    per = chosen.groupBy("decade", name_col).agg(F.count(F.lit(1)).alias("count"))
+        last = F.max("decade").over(Window.partitionBy())
+        return top_people_per_decade(people, name_col, n).withColumn("__last", last).where(F.col("decade") == F.col("__last")).drop("__last")
+    credits = non_null_keys(people.withColumn("decade", decade("startYear")), ["decade", name_col])
+    per = credits.where(F.col("decade") == F.lit(decade_value)).groupBy("decade", name_col).agg(F.count(F.lit(1)).alias("count"))
     return top_k_per_group(per, ["decade"], [F.col("count").desc(), F.col(name_col).asc()], n)
 
 

@@ -52,8 +52,7 @@ ANALYSES: dict[str, Analysis] = {
 }
 #: Analyses that read several gold tables: these share one checkpointed title join.
 MANY_TABLES = ("table_profile", "null_profile", "dataset_summary", "season_ratings", "season_ratings_of_title", "series_kpis",
-               "season_analysis", "series_most_seasons", "series_most_episodes", "series_picklist", "top_directors_in_decade",
-               "top_actors_in_decade", "genre_timeline_default", "country_timeline_default")
+               "season_analysis", "series_most_seasons", "series_most_episodes", "series_picklist", "genre_timeline_default", "country_timeline_default")
 
 ETL_STAGES = (
     "titles_base", "ratings_filtered", "titles_clean", "genres_exploded", "genres_by_year",
