@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -42,8 +43,12 @@ SLICE = 50_000
 _PLAIN = re.compile(r"([A-Za-zß-öø-ÿ]*)([!-&(-/:;=>?@\[-`{}~]*)")
 
 
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class WordIds:
-    """Ids of texts as little-endian 32-bit bytes, through caches by word.
+    """Ids of texts as little-endian 32-bit bytes, through a cache by word.
 
     For a tokenizer that drops white space and never merges across it. Words
     of letters, or of marks, are looked up by themselves; every other word goes
@@ -55,24 +60,27 @@ class WordIds:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
-        self.words = Recent(self.word, 24 << 20)
-        self.parts = Recent(self.part, 32 << 20)
+        self.words = Recent(self.word, 72 << 20)
         self.model = self.tokenizer.model
         self.mapped = str.maketrans(_byte_letters())
 
     def encoded(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return pack_ids(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def part(self, s: str) -> bytes:
         """Of one pre-token: the model alone, past normalizer and cutter."""
-        if not s:
-            return b""
-        units = s.encode("utf-8").decode("latin-1").translate(self.mapped)
-        return np.array([t.id for t in self.model.tokenize(units)], "<u4").tobytes()
+        # Printable ASCII stands for itself.
+        units = s if s.isascii() else s.encode("utf-8").decode("latin-1").translate(self.mapped)
+        return pack_ids([t.id for t in self.model.tokenize(units)])
 
     def word(self, w: str) -> bytes:
         m = _PLAIN.fullmatch(w)
-        return self.parts[m[1].lower()] + self.parts[m[2]] if m else self.encoded(w)
+        if not m:
+            return self.encoded(w)
+        letters, marks = m[1].lower(), m[2]
+        if w in (letters, marks):
+            return self.part(w)
+        return (self.words[letters] if letters else b"") + (self.words[marks] if marks else b"")
 
     def __call__(self, text: str) -> bytes:
         if _CONTROL.search(text):
