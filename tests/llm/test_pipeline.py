@@ -1,8 +1,14 @@
 from __future__ import annotations
 
+import itertools
+from collections import defaultdict
+
+from tokenizers import Tokenizer
+
 import __spark_entry__
 import corpus_pipeline
-from marquee.llm import queries
+from marquee.llm import decontam, langid, queries, simhash
+from marquee.llm.common import fold
 from tests.llm.conftest import ODD
 
 
@@ -48,6 +54,60 @@ def test_rows_that_share_an_id_are_decided_one_by_one(spark, make, tmp_path):
     assert [t for _, t in left(corpus_pipeline.exact_dedup, read) if "twice" in t and "said" in t] == ["said  twice"]
 
 
+def test_five_stages_recomputed_plainly(spark):
+    """The whole run on the smallest given table, each stage in plain Python."""
+    d = "/root/testdata/sf0.001"
+    table = spark.read.parquet(f"{d}/documents.parquet")
+    docs = [(r["doc_id"], r["text"], r["lang"]) for r in table.collect()]
+    model = langid.learn(table, fold("doc_id", 3) != 1)
+    langs, scores = langid.predict(model, [t for _, t, _ in docs])
+    kept = [x for x, lang, score in zip(docs, langs, scores, strict=True) if lang != "und" and score > 0]
+
+    def first_of(rows, group, rank):
+        best = {}
+        for x in sorted(rows, key=rank):
+            best.setdefault(group(x), x)
+        return list(best.values())
+
+    blank = str.maketrans("", "", " \t\n\x0b\x0c\r")
+    kept = first_of(kept, lambda x: x[1].translate(blank), lambda x: (-len(x[1]), x[0]))
+    prints = {x[0]: simhash.fingerprint(x[1], 4) for x in kept}
+    root = {i: i for i in prints}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for a, b in itertools.combinations(sorted(prints), 2):
+        if (prints[a] ^ prints[b]).bit_count() <= 4:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    kept = first_of(kept, lambda x: find(x[0]), lambda x: x[0])
+    windows = {w for r in spark.read.parquet(f"{d}/benchmark.parquet").collect() for w in decontam.windows_of(decontam.words_of(r["text"]), 10)}
+    lengths = {len(w) for w in windows}
+
+    def leaks(text):
+        words = decontam.words_of(text)
+        return any(tuple(words[i:i + n]) in windows for n in lengths for i in range(len(words) - n + 1))
+
+    kept = [x for x in kept if not leaks(x[1])]
+    encode = Tokenizer.from_file(queries.tokenizer_path(queries.PACK_TOKENIZER)).encode
+    want = {i: len(encode(t, add_special_tokens=False).ids) + 1 for i, t, _ in kept}
+    pieces = corpus_pipeline.run(spark, d).collect()
+    got = defaultdict(int)
+    for p in pieces:
+        got[p["doc_id"]] += p["length"]
+        assert p["doc_tokens"] == want[p["doc_id"]]
+    assert dict(got) == want and 0 < len(want) < len(docs)
+    sequences = defaultdict(list)
+    for p in pieces:
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+    for spans in sequences.values():
+        ends = [0, *itertools.accumulate(n for _, n in sorted(spans))]
+        assert [a for a, _ in sorted(spans)] == ends[:-1] and ends[-1] <= 4096
+
+
 def test_registered():
     names = __spark_entry__.queries()
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
