@@ -123,43 +123,60 @@ def trigrams(texts: list[str]) -> np.ndarray:
 
 
 class Cells:
-    """Counts of more n-grams than a worker can hold, summed by the cell that a
-    linear hash of the code points gives; every n-gram is in one, and those that
-    share a cell share its count."""
-
-    #: Prime, so that the hash spreads neighbouring code points.
-    N = 4_194_301
-    FACTORS = (1_000_003, 2_654_435, 3_266_489)
-
-    def __init__(self, counts: DataFrame, *points: str):
-        cell = sum((F.col(p) * f for p, f in zip(points, self.FACTORS, strict=False)), F.lit(0))
-        got = counts.groupBy((cell % self.N).alias("cell")).agg(F.sum("n").alias("n")).toPandas()
-        self.n = np.zeros(self.N, np.int64)
-        self.n[got["cell"].to_numpy(np.int64)] = got["n"].to_numpy(np.int64)
-
-    @classmethod
-    def of(cls, gram: str) -> int:
-        return sum(ord(c) * f for c, f in zip(gram, cls.FACTORS, strict=False)) % cls.N
+    """Counts of more n-grams than a dict should hold, each n-gram by itself:
+    sorted keys of 21 bits a code point, and counts; 16 bytes an n-gram. They
+    come to the driver in slices of about ``SLICE`` n-grams."""
+
+    SLICE = 2_000_000
+
+    def __init__(self, grams: DataFrame, n: int, *points: str):
+        """``grams``: n different n-grams of ``points``, and their counts ``n``."""
+        key = F.lit(0).cast("long")
+        for p in points:
+            key = F.shiftleft(key, 21).bitwiseOR(F.col(p).cast("long"))
+        rows, parts = grams.select(key.alias("key"), F.col("n").cast("long").alias("n")), n // self.SLICE + 1
+        keys, counts, at = np.empty(n, np.int64), np.empty(n, np.int64), 0
+        for i in range(parts):
+            got = rows.where(F.pmod(F.xxhash64("key"), F.lit(parts)) == i).toArrow()
+            for into, name in ((keys, "key"), (counts, "n")):
+                into[at:at + len(got)] = got[name].to_numpy()
+            at += len(got)
+        order = np.argsort(keys)
+        self.key = keys[order]
+        del keys
+        self.n = counts[order]
+
+    def _at(self, gram: str) -> tuple[int, int, bool]:
+        key = 0
+        for c in gram:
+            key = key << 21 | ord(c)
+        at = int(np.searchsorted(self.key, np.int64(key)))
+        return key, at, at < len(self.key) and int(self.key[at]) == key
 
     def get(self, gram: str, default: int = 0) -> int:
-        return int(self.n[self.of(gram)])
+        _, at, found = self._at(gram)
+        return int(self.n[at]) if found else default
 
     def __setitem__(self, gram: str, n: int) -> None:
-        self.n[self.of(gram)] = n
+        key, at, found = self._at(gram)
+        if found:
+            self.n[at] = n
+        else:
+            self.key, self.n = np.insert(self.key, at, key), np.insert(self.n, at, n)
 
 
 def _counted(counts: DataFrame, exact: int, *points: str) -> dict[str, int] | Cells:
-    """The sums of ``n`` by the n-gram of ``points``: a dict of up to ``exact``
-    n-grams, else cells."""
+    """The sums of ``n`` by the n-gram of ``points``, all of them: a dict of up to
+    ``exact`` n-grams, else the smaller cells; the counts are the same."""
     grams = counts.groupBy(*points).agg(F.sum("n").alias("n"))
-    if len(points) > 1 and grams.limit(exact + 1).count() > exact:
-        return Cells(grams, *points)
+    if len(points) > 1 and (n := grams.count()) > exact:
+        return Cells(grams, n, *points)
     return {"".join(map(chr, row[:-1])): row[-1] for row in grams.toPandas().itertuples(index=False, name=None)}
 
 
 def char_model(counts: DataFrame, exact: int = 200_000) -> CharModel:
-    """The model of all trigrams; the shorter counts are their sums. Letters are
-    always counted exactly (there are 1.1 million code points at most)."""
+    """The model of all trigrams, each counted by itself; the shorter counts are
+    their sums. ``exact`` says how they are held and changes no cost."""
     tri, bi, uni = (_counted(counts, exact, *points) for points in ("abc", "bc", "c"))
     bi["  "] = uni.get(" ", 0)  # a word begins wherever one ended
     return CharModel(tri, bi, uni, sum(uni.values()))

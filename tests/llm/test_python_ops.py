@@ -184,6 +184,22 @@ def test_no_count_is_left_out(spark, make):
     assert model.blocks > 1 and scores[0] == scores[1] and len(set(scores[0].values())) > 1
 
 
+def test_counts_do_not_depend_on_how_many_there_are(spark, monkeypatch):
+    """Each n-gram has its own count, however many are held (none shares another's)."""
+    rng = random.Random(11)
+    words = ["".join(chr(rng.randrange(0x4E00, 0x9FA0)) for _ in range(3)) for _ in range(6000)]
+    docs = spark.createDataFrame([(" ".join(words[i::20]),) for i in range(20)] * 2, "text string")
+    counts = toxicity.char_counts(docs)
+    monkeypatch.setattr(toxicity.Cells, "SLICE", 5000, raising=False)
+    few, many = toxicity.char_model(counts), toxicity.char_model(counts, exact=3)
+    assert isinstance(few.tri, dict) and not isinstance(many.tri, dict) and not isinstance(many.bi, dict)
+    assert len(few.tri) > 20_000
+    for a, b in ((few.tri, many.tri), (few.bi, many.bi)):
+        assert [g for g, n in a.items() if b.get(g) != n] == []
+    unseen = {"".join(rng.choices("abcdefgh", k=3)) for _ in range(200)}
+    assert all(many.tri.get(g) == 0 for g in unseen) and (few.uni, few.total) == (many.uni, many.total)
+
+
 def test_every_learning_row_counts(spark, make):
     passage = "a passage that very many pages share word by word and that goes on for a while "
     texts = [passage + f"then page {i} goes its own way {i * 7} entirely" for i in range(20)] + ["equal text with two labels"] * 3
