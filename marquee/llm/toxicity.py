@@ -32,10 +32,10 @@ import math
 import re
 from array import array
 from bisect import bisect_left
-from collections import Counter
-from collections.abc import Callable, Iterable, Iterator
+from collections import Counter, defaultdict
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass, field
-from itertools import chain
+from itertools import chain, compress, repeat
 
 import numpy as np
 import pandas as pd
@@ -61,8 +61,10 @@ _TAIL = "*.-_~^'`,:;/\\|+=#%&!?$@"
 _EDGE = ".,:;?\"'()[]{}…"
 #: Costs (natural logs) of the channel.
 SUBSTITUTE, DROP, REPEAT, PAIR, BREAK = 1.0, 0.7, 0.5, 2.5, 0.7
-#: Counts of words that a task holds before it hands them to Spark.
+#: Words, or tokens, that a task holds before it hands their counts to Spark.
 HELD = 300_000
+#: Characters of texts that are looked at together.
+_RUN = 1 << 21
 _COUNTS = ("neg0", "pos0", "neg1", "pos1")
 
 
@@ -252,6 +254,22 @@ def plain(token: str) -> str:
     return "" if len(core) - len(set(core)) > 1 and _TRIPLE.search(core) else core
 
 
+def told_apart(tokens: Collection[str]) -> tuple[list[str], list[str], list[str]]:
+    """Tokens that are a word and hide none, the words of these (as ``plain``),
+    and the other tokens."""
+    cores = [t.strip(_EDGE) for t in tokens]
+    own = np.fromiter(map(str.isalpha, cores), bool, len(cores))
+    words = list(compress(cores, own))
+    points = np.frombuffer(" ".join(words).encode("utf-32-le"), np.uint32)
+    again = points[1:] == points[:-1]
+    triples = np.flatnonzero(again[1:] & again[:-1])
+    if len(triples):
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        own[np.flatnonzero(own)[np.unique(np.searchsorted(ends, triples, "right"))]] = False
+        words = list(compress(cores, own))
+    return list(compress(tokens, own)), words, list(compress(tokens, ~own))
+
+
 def with_starts(words: set[str]) -> set[str]:
     """The words and, marked, their first 4 and 6 letters."""
     return {w for w in words if w} | {"^" + w[:n] for w in words for n in (4, 6) if len(w) > n}
@@ -301,6 +319,60 @@ class Restorer:
         return found | with_starts(set(self.spaced(tokens)))
 
 
+def tokens_of(texts: list[str]) -> Iterator[tuple[range, list[list[str]], list[set[str]], set[str]]]:
+    """Runs of texts: their places, each text's tokens, its different tokens, and
+    the different tokens of the run."""
+    for i, j in text_runs(texts, _RUN):
+        tokens = [t.lower().split() for t in texts[i:j]]
+        different = list(map(set, tokens))
+        yield range(i, j), tokens, different, set().union(*different)
+
+
+class WordCounts:
+    """How many texts of each of four groups have a word ('' stands for every
+    text), by numbered words, so that a token is taken apart once."""
+
+    def __init__(self, restorer: Restorer):
+        self.restorer = restorer
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__  # the next number
+        self.n = np.zeros((4, self.number[""] + 1), np.int64)
+        self.of: dict[str, tuple[int, ...]] = {}  # token -> its words
+
+    def full(self) -> bool:
+        return max(len(self.number), len(self.of)) > HELD
+
+    def _learn(self, tokens: Collection[str]) -> None:
+        """As ``Restorer.token``."""
+        number, of = self.number, self.of
+        own, words, others = told_apart(tokens)
+        for t, w in zip(own, words, strict=True):
+            if len(w) > 6:
+                of[t] = number[w], number["^" + w[:4]], number["^" + w[:6]]
+            elif len(w) > 4:
+                of[t] = number[w], number["^" + w[:4]]
+            else:
+                of[t] = (number[w],)
+        for t in others:
+            of[t] = tuple(map(number.__getitem__, self.restorer.known[t]))
+
+    def add(self, texts: list[str], groups: list[int]) -> None:
+        seen: list[list[int]] = [[] for _ in range(4)]
+        for at, tokens, different, every in tokens_of(texts):
+            self._learn(every.difference(self.of))
+            for i, row, own in zip(at, tokens, different, strict=True):
+                found = set(chain.from_iterable(map(self.of.__getitem__, own)))
+                found.update(map(self.number.__getitem__, with_starts(set(self.restorer.spaced(row)))))
+                seen[groups[i]] += found
+                seen[groups[i]].append(0)
+        n = np.stack([np.bincount(np.array(s, np.int64), minlength=len(self.number)) for s in seen])
+        n[:, :self.n.shape[1]] += self.n
+        self.n = n
+
+    def frame(self) -> pd.DataFrame:
+        return pd.DataFrame({"word": list(self.number)} | dict(zip(_COUNTS, self.n, strict=True)))
+
+
 def least_shingle(text: str | None) -> int:
     """The least hash of a text's three-word shingles, as a signed long."""
     words = (text or "").lower().encode("utf-8", "surrogatepass").split()
@@ -328,48 +400,74 @@ class Model:
 OTHERS = 2
 
 
+class Without:
+    """Tokens known to have no evidence, in two generations of about ``most``
+    bytes each; those met again move up."""
+
+    def __init__(self, most: int = 40 << 20):
+        self.most, self.size, self.now, self.old = most, 0, set(), set()
+
+    def add(self, tokens: set[str]) -> None:
+        self.size += 110 * len(tokens) + 2 * sum(map(len, tokens))
+        self.now |= tokens
+        if self.size > self.most:
+            self.now, self.old, self.size = set(), self.now, 0
+
+    def others(self, tokens: set[str]) -> set[str]:
+        """The tokens that are not known."""
+        rest = tokens - self.now
+        again = rest & self.old
+        rest -= again
+        self.add(again)
+        return rest
+
+
 class Finder:
     """Evidence in texts: 17 bytes a word, sorted by the word's hash."""
 
-    def __init__(self, restorer: Restorer, h: array, w: array, views: bytes):
+    def __init__(self, restorer: Restorer, h: np.ndarray, w: array, views: bytes):
         self.restorer, self.h, self.w, self.views = restorer, h, w, views
-        self.tokens = Recent(self._of_token, 32 << 20)
-        self.starts = Recent(lambda start: self._places(("^" + start,)), 8 << 20)
+        self.without = Without()
 
     def __reduce__(self):
         return Finder, (self.restorer, self.h, self.w, self.views)
 
-    def _places(self, words: Iterable[str]) -> tuple[int, ...]:
-        found = []
-        for word in words:
-            h = xxh64_intdigest(word.encode("utf-8", "surrogatepass"), 42)
-            at = bisect_left(self.h, h)
-            if at < len(self.h) and self.h[at] == h:
-                found.append(at)
-        return tuple(found)
-
-    def _of_token(self, token: str) -> tuple[int, ...]:
-        if not (core := plain(token)):
-            return self._places(self.restorer.token(token))
-        h = xxh64_intdigest(core.encode("utf-8", "surrogatepass"), 42)
-        at = bisect_left(self.h, h)
-        found = (at,) if at < len(self.h) and self.h[at] == h else ()
-        if len(core) > 4:  # as with_starts
-            found += self.starts[core[:4]]
-            if len(core) > 6:
-                found += self.starts[core[:6]]
-        return found
-
-    def strongest(self, text: str | None, view: int) -> list[float]:
-        """The three largest weights of a text's words, rising, for a view."""
-        if not text or not len(self.h):
-            return []
-        tokens = text.lower().split()
-        found = set(chain.from_iterable(map(self.tokens.__getitem__, set(tokens))))
-        hidden = with_starts(set(self.restorer.spaced(tokens)))
-        if hidden:
-            found.update(self._places(hidden))
-        return sorted(self.w[i] for i in found if self.views[i] >> view & 1)[-3:]
+    def _places(self, words: Collection[str]) -> dict[str, int]:
+        """The places in the evidence of the words that are there."""
+        h = np.fromiter(map(xxh64_intdigest, words, repeat(42)), np.uint64, len(words))
+        at = np.minimum(np.searchsorted(self.h, h), len(self.h) - 1)
+        there = self.h[at] == h
+        return dict(zip(compress(words, there), at[there].tolist(), strict=True))
+
+    def _of_tokens(self, tokens: Collection[str]) -> dict[str, set[int]]:
+        """The evidence of the tokens that have any (as ``Restorer.token``)."""
+        own, words, others = told_apart(tokens)
+        starts = {"^" + w for w in {w[:4] for w in words if len(w) > 4} | {w[:6] for w in words if len(w) > 6}}
+        hidden = {t: self.restorer.known[t] for t in others}
+        places = self._places({*words, *starts, *chain.from_iterable(hidden.values())})
+        begin = {w[1:] for w in places if w[0] == "^"}
+        found = {t: {places[x] for x in with_starts({w}) if x in places} for t, w in zip(own, words, strict=True)
+                 if w in places or w[:4] in begin or w[:6] in begin}
+        found |= {t: {places[x] for x in words if x in places} for t, words in hidden.items()}
+        return {t: at for t, at in found.items() if at}
+
+    def strongest(self, texts: list[str], views: list[int]) -> list[list[float]]:
+        """For each text, the three largest weights of its words, rising, for
+        its view."""
+        if not len(self.h):
+            return [[] for _ in texts]
+        best = []
+        for at, tokens, different, every in tokens_of(texts):
+            new = self.without.others(every)
+            evidence = self._of_tokens(new)
+            marked = set(evidence)
+            self.without.add(new - marked)
+            for i, row, own in zip(at, tokens, different, strict=True):
+                found = set().union(*map(evidence.__getitem__, own & marked))
+                if hidden := with_starts(set(self.restorer.spaced(row))):
+                    found.update(self._places(hidden).values())
+                best.append(sorted(self.w[p] for p in found if self.views[p] >> views[i] & 1)[-3:])
+        return best
 
 
 def finder(restorer: Restorer, evidence: DataFrame, block: int = 0, blocks: int = 1) -> Broadcast:
@@ -377,7 +475,7 @@ def finder(restorer: Restorer, evidence: DataFrame, block: int = 0, blocks: int
     part = evidence.where(F.pmod("h", F.lit(blocks)) == block).select("h", "w", "views").toPandas()
     h = part["h"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(h)
-    words = Finder(restorer, array("Q", h[order].tobytes()), array("d", part["w"].to_numpy(float)[order].tobytes()),
+    words = Finder(restorer, h[order], array("d", part["w"].to_numpy(float)[order].tobytes()),
                    part["views"].to_numpy(np.uint8)[order].tobytes())
     return evidence.sparkSession.sparkContext.broadcast(words)
 
@@ -410,21 +508,15 @@ def learn(docs: DataFrame, labels: DataFrame, use: Column, label_col: str = "tox
     train = Marks.by_id(docs, marks, id_col, use, entries)
 
     def presence(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        def counted(seen: list[Counter]) -> pd.DataFrame:
-            words = list(set().union(*seen))
-            return pd.DataFrame({"word": words} | {name: [c[w] for w in words] for name, c in zip(_COUNTS, seen, strict=True)})
-
-        seen = [Counter() for _ in range(4)]
+        counts = WordCounts(shared.value)
         for batch in batches:
-            for text, y in zip(batch["text"], batch["y"], strict=True):
-                group = seen[2 * half_of(text) + y]
-                group.update(shared.value.words(text))
-                group[""] += 1
-            if sum(map(len, seen)) > HELD:
-                yield counted(seen)
-                seen = [Counter() for _ in range(4)]
-        if any(seen):
-            yield counted(seen)
+            texts = [t or "" for t in batch["text"]]
+            counts.add(texts, [2 * half_of(t) + y for t, y in zip(texts, batch["y"], strict=True)])
+            if counts.full():
+                yield counts.frame()
+                counts = WordCounts(shared.value)
+        if counts.n.any():
+            yield counts.frame()
 
     sums = [F.sum(c).alias(c) for c in _COUNTS]
     counted = scratch(spark, "toxic-words")
@@ -473,8 +565,8 @@ def _celled(rows: DataFrame, restorer: Restorer, evidence: DataFrame, blocks: in
     def weights(shared: Broadcast) -> Callable[[Column], Column]:
         @F.pandas_udf("array<double>")
         def of(texts: pd.Series) -> pd.Series:
-            find = shared.value.strongest
-            return pd.Series([find(t, half_of(t) if by_half else OTHERS) for t in texts], dtype=object)
+            rows = [t or "" for t in texts]
+            return pd.Series(shared.value.strongest(rows, [half_of(t) if by_half else OTHERS for t in rows]), dtype=object)
         return of
 
     def cell(found: Column) -> Column:

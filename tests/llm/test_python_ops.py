@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 import random
 import zlib
+from array import array
 from collections import defaultdict
 
 import numpy as np
@@ -200,6 +201,45 @@ def test_counts_do_not_depend_on_how_many_there_are(spark, monkeypatch):
     assert all(many.tri.get(g) == 0 for g in unseen) and (few.uni, few.total) == (many.uni, many.total)
 
 
+TOKENS = ["the house", "House, (tree) tree. trees treetops", "1d10t l-o-s-e-r mooooron moooon-", "s c u m b a g and a b", "", " \n", "\u00c9t\u00e9 stra\u00dfe \u0130stanbul \u6f22\u5b57\u6f22\u5b57\u6f22 \u00bd \u216b",
+          "aaa (bbb) cc c dd! e\u0301t\u00e9 \U00010400\U00010400\U00010400", "|| $$ 12 ... a$ b@ idiot idiots id1ots", "treetop " * 50 + "loser"]
+
+
+def test_tokens_taken_together_give_the_words_of_each_text(spark, monkeypatch):
+    """Counts and evidence of many texts at once against ``Restorer.words``, text by text."""
+    docs = spark.createDataFrame([("idiot loser scumbag moron moon house tree trees treetop",)] * 9, "text string")
+    restorer = toxicity.Restorer(toxicity.char_model(toxicity.char_counts(docs)))
+    texts = TOKENS * 3
+    words = [restorer.words(t) for t in texts]
+    told = {t for text in texts for t in text.lower().split()}
+    own, cores, others = toxicity.told_apart(sorted(told))
+    assert dict(zip(own, cores, strict=True)) == {t: toxicity.plain(t) for t in told if toxicity.plain(t)}
+    assert sorted(own + others) == sorted(told) and toxicity.told_apart([]) == ([], [], [])
+    want = {"": [sum(i % 4 == g for i in range(len(texts))) for g in range(4)]}
+    for i, found in enumerate(words):
+        for w in found:
+            want.setdefault(w, [0] * 4)[i % 4] += 1
+    every = sorted(want)[1::2]  # every second word is evidence
+    h = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in every], np.uint64)
+    order = np.argsort(h)
+    weights = {w: 1 + i / 7 for i, w in enumerate(every)}
+    views = bytes(1 + i % 7 for i in order)
+    weight = array("d", [weights[every[i]] for i in order])
+    best = [sorted(weights[w] for w in found if w in weights and (1 + every.index(w) % 7) >> (i % 3) & 1)[-3:] for i, found in enumerate(words)]
+    assert len({tuple(b) for b in best}) > 5
+    for run, most in ((1 << 21, 1 << 20), (1, 1 << 20), (40, 1)):  # all at once; text by text; every token forgotten
+        monkeypatch.setattr(toxicity, "_RUN", run)
+        counts = toxicity.WordCounts(restorer)
+        for k in range(0, len(texts), 7):
+            counts.add(texts[k:k + 7], [i % 4 for i in range(k, min(k + 7, len(texts)))])
+        assert {r[0]: list(r[1:]) for r in counts.frame()[["word", "neg0", "pos0", "neg1", "pos1"]].itertuples(index=False)} == want
+        find = toxicity.Finder(restorer, h[order], weight, views)
+        find.without = toxicity.Without(most)
+        for _ in range(2):
+            assert find.strongest(texts, [i % 3 for i in range(len(texts))]) == best
+    assert toxicity.Finder(restorer, h[:0], array("d"), b"").strongest(["a", ""], [0, 2]) == [[], []]
+
+
 def test_every_learning_row_counts(spark, make):
     passage = "a passage that very many pages share word by word and that goes on for a while "
     texts = [passage + f"then page {i} goes its own way {i * 7} entirely" for i in range(20)] + ["equal text with two labels"] * 3
