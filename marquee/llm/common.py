@@ -6,6 +6,7 @@ import re
 import uuid
 from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,24 @@ class Recent(dict):
         return value
 
 
+_held: dict = {}
+
+
+def hold(key, make: Callable):
+    """What ``make`` gives, remembered by a worker for the key it was asked for
+    last. Workers outlive a stage: what one operator keeps goes when the next
+    asks, so that an executor never holds the tables of both."""
+    if key not in _held:
+        release()
+        _held[key] = make()
+    return _held[key]
+
+
+def release() -> None:
+    """For an operator that keeps nothing itself."""
+    _held.clear()
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -154,7 +173,11 @@ class Rows:
         docs, name = self.docs, self.name
         place = docs.metadataColumn("_metadata")
         numbers = range(len(self.paths)) if only is None else only
-        files = docs.sparkSession.createDataFrame([(self.paths[i], i << FILE_ROW_BITS) for i in numbers], f"{name}path string, {name}base long")
+        # From Arrow it is a local table; from Python rows, every scan would run a
+        # Python job on the executors, with a daemon and workers of its own.
+        files = docs.sparkSession.createDataFrame(pa.table({
+            f"{name}path": pa.array([self.paths[i] for i in numbers], pa.string()),
+            f"{name}base": pa.array([i << FILE_ROW_BITS for i in numbers], pa.int64())}))
         placed = docs.select("*", place["file_path"].alias(f"{name}file"), place["row_index"].alias(f"{name}at"))
         if only is not None:
             placed = placed.where(place["file_path"].isin([self.paths[i] for i in numbers]))

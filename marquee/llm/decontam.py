@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, python_batches, scratch
+from .common import Rows, hold, python_batches, scratch
 
 _KEEP = bytes(c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else c + 32 if 0x41 <= c <= 0x5A else 0x20 for c in range(256))
 
@@ -98,17 +98,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-#: The tables of the block that this worker searched last.
-_built: dict[str, list[WuManber]] = {}
-
-
 def _search(items, token: str, window: int, all_rows: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Finds of a block's items per row; of ``all_rows`` or of those with finds."""
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        if token not in _built:
-            _built.clear()
-            _built[token] = tables_of(items.value, window)
-        tables = _built[token]
+        tables = hold(("leaks", token), lambda: tables_of(items.value, window))
         for batch in batches:
             kept, n_words, starts, ends, found = [], [], [], [], []
             for i, text in enumerate(batch["text"]):

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import python_batches, text_runs, written
+from .common import python_batches, release, text_runs, written
 
 UNDETERMINED = "und"
 SIZES = (3, 4)
@@ -150,6 +150,7 @@ def learn(docs: DataFrame, use: Column, lang_col: str = "lang", text_col: str =
     rows = docs.where(use).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where("lang is not null and text is not null")
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         held: dict[tuple[str, int], list[tuple[np.ndarray, np.ndarray]]] = {}
         waiting = 0
         for batch in batches:
@@ -205,6 +206,7 @@ def predictor(spark: SparkSession, model: Model) -> Callable[[Column], Column]:
 
     @F.pandas_udf("lang_pred string, score double")
     def of(texts: pd.Series) -> pd.DataFrame:
+        release()
         langs, scores = predict(shared.value, texts.tolist())
         return pd.DataFrame({"lang_pred": langs, "score": scores})
 

@@ -27,14 +27,13 @@ import struct
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Recent, python_batches, written
+from .common import Recent, hold, python_batches, written
 
 #: Rows of one slice of a class, about.
 SLICE = 50_000
@@ -99,9 +98,8 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-@lru_cache(1)
 def _ids(path: str) -> WordIds:
-    return WordIds(path)
+    return hold(("word ids", path), lambda: WordIds(path))
 
 
 def pieces(docs: DataFrame, tokenizer: str, end_id: int = 2, seq_len: int = 4096, id_col: str = "doc_id",

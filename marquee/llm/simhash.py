@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import connected_components, python_batches, written
+from .common import connected_components, python_batches, release, written
 
 #: Points of a tile, about.
 TILE = 4096
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, shingle: int, id_col: str = "doc_id", text_col
     python_batches(docs.sparkSession)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         for batch in batches:
             fp = np.array([fingerprint(t, shingle) for t in batch["text"]], np.uint64)
             yield pd.DataFrame({"id": batch["id"], "fp": fp.view(np.int64)})

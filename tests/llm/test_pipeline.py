@@ -1,14 +1,19 @@
 from __future__ import annotations
 
+import gc
 import itertools
+import weakref
 from collections import defaultdict
+from types import SimpleNamespace
 
+import pandas as pd
 from tokenizers import Tokenizer
 
 import __spark_entry__
 import corpus_pipeline
-from marquee.llm import decontam, langid, queries, simhash
+from marquee.llm import common, decontam, langid, packing, queries, simhash
 from marquee.llm.common import fold
+from marquee.llm.queries import PACK_TOKENIZER, tokenizer_path
 from tests.llm.conftest import ODD
 
 
@@ -113,3 +118,26 @@ def test_registered():
     assert set(queries.QUERIES) | {"pipeline"} <= set(names)
     assert {q.split("_")[0] for q in queries.QUERIES} == {f"op{n}" for n in range(1, 14)}
     assert set(queries.ORACLE) <= set(queries.QUERIES)
+
+
+def test_row_keys_need_no_python_on_the_executors(make, tmp_path):
+    make([(i, "a b", "en") for i in range(4)]).repartition(3).write.parquet(str(tmp_path / "docs"))
+    rows = common.Rows(make([]).sparkSession.read.parquet(str(tmp_path / "docs")))
+    for frame in (rows.frame(), rows.frame(range(1, 2))):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "LocalRelation" in plan and "RDD" not in plan
+    assert rows.frame().select(rows.name).distinct().count() == 4
+
+
+def test_a_worker_keeps_the_tables_of_one_operator():
+    ids = packing._ids(tokenizer_path(PACK_TOKENIZER))
+    assert packing._ids(tokenizer_path(PACK_TOKENIZER)) is ids
+    held = weakref.ref(ids)
+    del ids
+    tests = SimpleNamespace(value=[("i", "one two three")])
+    batch = pd.DataFrame({"id": [1], "text": ["zero one two three"]})
+    found = list(decontam._search(tests, "t", 10, True)(iter([batch])))
+    gc.collect()
+    assert held() is None and found[0]["items"].tolist() == [["i"]]
+    common.release()
+    assert not common._held
