@@ -19,7 +19,10 @@ Lines of one component form a class; of a class, the first occurrence (smallest
 doc_id, then place) stays; it is found among the lines, each of which knows its
 own first. Line ids are given when the table of different lines is written, so
 ids do not collide; occurrences find their line by 96 bits of hash, and only
-lines that occur again or link are looked up.
+lines that occur again or link are looked up. What is picked from the lines is
+dealt anew before it is written, so that its files follow its own size: one of a
+few rows for every task that reads the lines would cost a file, and on a local
+path two processes that Hadoop forks off the executor, each.
 
 Defined cases: null or empty texts have no lines; lines shorter than their
 segments work as any (empty segments agree); a null id sorts first; rows that
@@ -130,7 +133,7 @@ def similar_lines(lines: DataFrame, threshold: int) -> DataFrame:
     pairs = written(met.select("a", "b").distinct(), "line-pairs")
     # Only the lines of a pair are fetched, so that no other text is shuffled.
     ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
-    texts = written(lines.select("id", "line").join(if_small(ids), "id", "left_semi"), "line-texts")
+    texts = written(lines.select("id", "line").join(if_small(ids), "id", "left_semi").hint("rebalance", "id"), "line-texts")
     return (pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
             .where(within(F.col("left"), F.col("right"), threshold)).select("a", "b"))
@@ -142,7 +145,8 @@ def line_dedup(docs: DataFrame, threshold: int = 1, id_col: str = "doc_id", text
     are not the first of their class), first_docs (sorted ids of the documents
     where the dropped lines stand first)."""
     found = (docs.select(F.col(id_col).alias("doc"), F.posexplode(F.split(F.col(text_col), "\n")).alias("at", "line"))
-             .where(F.translate("line", BLANKS, "") != ""))
+             # Only leading blanks are looked at: translate() would make a JVM string of every code point.
+             .where(F.ltrim("line", F.lit(BLANKS)) != ""))
     hashed = [F.xxhash64("line").alias("h"), F.hash("line").alias("g")]
     place, doc_of = _place(found)
     lines = written(found.select("line", place.alias("place")).groupBy("line").agg(F.count("*").alias("times"), F.min("place").alias("place"))
@@ -157,7 +161,7 @@ def line_dedup(docs: DataFrame, threshold: int = 1, id_col: str = "doc_id", text
     first = linked.groupBy("class").agg(F.min("place").alias("first"), F.sum("times").alias("all"))
     marks = (linked.join(first, "class").select("h", "g", "links", "first", "all")
              .unionByName(named.where("links = 0").select("h", "g", "links", F.col("place").alias("first"), F.col("times").alias("all"))))
-    marks = written(marks.where("all > 1"), "line-marks").drop("all")
+    marks = written(marks.where("all > 1").drop("all").hint("rebalance", "h"), "line-marks")
     placed = found.select("doc", place.alias("place"), *hashed).join(marks, ["h", "g"], "left")
     dropped = F.col("first").isNotNull() & (F.col("place") != F.col("first"))
     return (placed.groupBy("doc").agg(

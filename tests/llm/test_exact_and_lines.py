@@ -156,3 +156,43 @@ def test_verification_is_edit_distance(spark):
     for t in (1, 2, 3):
         got = df.select("a", "b", linededup.within(F.col("a"), F.col("b"), t).alias("near")).collect()
         assert all(r["near"] == (edits(r["a"], r["b"]) <= t) for r in got)
+
+
+def test_blank_lines_are_found_by_their_first_characters(make):
+    """No JVM string for every code point of the corpus; a blank is one of the six."""
+    blanks, others = "\t\x0b\x0c\r ", "\x00\x08\x0e\x1c\x1f\x85\xa0\u2003\u2028\u3000\ufeff"
+    rows = [(i, "\n".join([c, c * 3, f"{blanks}{c}", f"{c}{blanks}", f"{blanks}{c}{blanks}"]), "en") for i, c in enumerate(blanks + others)]
+    rows += [(50 + i, t, "en") for i, t in enumerate([blanks, f"\n{blanks}\n\n", f"{blanks}a {blanks}\n b", f"{blanks}{blanks}é", ""])]
+    found = linededup.line_dedup(make(rows))
+    assert "translate(" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((tuple(r) for r in found.collect()), key=str) == brute_lines(rows, 1)
+    assert {r.doc_id for r in found.collect()} == {*range(len(blanks), len(blanks + others)), 52, 53}
+
+
+def test_files_of_picked_lines_follow_their_size(spark, make, monkeypatch):
+    """Few lines picked by every task are not a file for each task."""
+    parts: dict[str, int] = {}
+
+    def noted(df, name, write=linededup.written):
+        out = write(df, name)
+        parts[name] = len(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(linededup, "written", noted)
+    # Many lines, in as many files as tasks; a few of them link or repeat.
+    rows = [(i, "\n".join([hashlib.sha256(f"{i} {j}".encode()).hexdigest() for j in range(5)]
+                          + [f"near {i // 2} copy {'x' * (i % 2)}", f"again {i // 3}"] * (i < 60)), "en") for i in range(600)]
+    held = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.minPartitionSize", "spark.sql.files.openCostInBytes",
+                                           "spark.sql.files.maxPartitionBytes")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 16)
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "16k")
+        spark.conf.set("spark.sql.files.openCostInBytes", "16k")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "4k")
+        found = linededup.line_dedup(make(rows)).collect()
+    finally:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+    assert sum(r.n_lines for r in found) == 5 * 600 + 2 * 60 and sum(r.n_links for r in found) >= 60
+    assert parts["lines"] >= 8
+    assert parts["line-texts"] <= parts["lines"] // 2 and parts["line-marks"] <= parts["lines"] // 2
