@@ -131,8 +131,9 @@ def similar_lines(lines: DataFrame, threshold: int) -> DataFrame:
     met = index.join(probe, (index.key == probe.key) & (F.col("shorter") | (F.col("a") < F.col("b")))
                      & ((F.col("x") == F.col("u")) | (F.col("y") == F.col("v"))))
     pairs = written(met.select("a", "b").distinct(), "line-pairs")
-    # Only the lines of a pair are fetched, so that no other text is shuffled.
-    ids = written(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct(), "line-ids")
+    # Only the lines of a pair are fetched, so that no other text is shuffled. The
+    # ids are not written: read off the pairs again, they cost no more than a table.
+    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
     texts = written(lines.select("id", "line").join(if_small(ids), "id", "left_semi").hint("rebalance", "id"), "line-texts")
     return (pairs.join(texts.select(F.col("id").alias("a"), F.col("line").alias("left")), "a")
             .join(texts.select(F.col("id").alias("b"), F.col("line").alias("right")), "b")
