@@ -20,9 +20,9 @@ doc_id, then place) stays; it is found among the lines, each of which knows its
 own first. Line ids are given when the table of different lines is written, so
 ids do not collide; occurrences find their line by 96 bits of hash, and only
 lines that occur again or link are looked up. What is picked from the lines is
-dealt anew before it is written, so that its files follow its own size: one of a
-few rows for every task that reads the lines would cost a file, and on a local
-path two processes that Hadoop forks off the executor, each.
+dealt anew before it is written, so that its files follow its own size, not the
+number of tasks that read the lines: on a local path Hadoop forks the executor
+for every file.
 
 Defined cases: null or empty texts have no lines; lines shorter than their
 segments work as any (empty segments agree); a null id sorts first; rows that
