@@ -196,3 +196,37 @@ def test_files_of_picked_lines_follow_their_size(spark, make, monkeypatch):
     assert sum(r.n_lines for r in found) == 5 * 600 + 2 * 60 and sum(r.n_links for r in found) >= 60
     assert parts["lines"] >= 8
     assert parts["line-texts"] <= parts["lines"] // 2 and parts["line-marks"] <= parts["lines"] // 2
+
+
+@pytest.mark.parametrize(("crowd", "narrower"), [(1, 2), (3, 16)])
+def test_crowded_windows_equal_brute_force(make, monkeypatch, crowd, narrower):
+    """Substituted, inserted and struck out code points, runs among them, in groups
+    that are split down to one code point."""
+    monkeypatch.setattr(linededup, "CROWD", crowd)
+    monkeypatch.setattr(linededup, "NARROWER", narrower)
+    rng = random.Random(crowd)
+    lines = {"".join(rng.choices("aé", k=rng.randint(1, 6))) for _ in range(60)} | {"a" * k for k in range(1, 12)}
+    lines |= {f"the same {w} for all of them" for w in ("", "a", "b", "aa", "ab", "ba", "bb", "aab", "baa", "\U0001f600", "\U0001f600a", "a\U0001f600")}
+    rows = [(i // 2, f"{line}\n{line if i % 7 == 0 else ''}", "en") for i, line in enumerate(sorted(lines))]
+    got = [tuple(r) for r in linededup.line_dedup(make(rows)).collect()]
+    assert sorted(got, key=str) == brute_lines(rows, 1)
+
+
+def test_crowds_make_no_square_of_pairs(make, monkeypatch):
+    """Lines that differ in a number, or in one code point at one place."""
+    made: dict[str, int] = {}
+
+    def noted(df, name, write=linededup.written):
+        out = write(df, name)
+        made[name] = made.get(name, 0) + out.count()
+        return out
+
+    monkeypatch.setattr(linededup, "written", noted)
+    n = 300
+    rows = [(i, f"a line of a licence text, number {i:04d} of them, that goes on for a while\none {chr(0x4e00 + i)} of many", "en") for i in range(n)]
+    got = {r.doc_id: tuple(r)[1:] for r in linededup.line_dedup(make(rows)).collect()}
+    # Numbers of four digits below 300: 9 + 9 others by the last two, 2 by the hundreds.
+    assert got == {i: (2, 2, n - 1 + 20, 2 * (i > 0), [0] * (i > 0)) for i in range(n)}
+    assert max(made.values()) < 50 * n
+    assert made["line-pairs"] <= 16 * n and made["line-links"] <= 10 * n
+    assert made["line-crowds"] == n
